@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -18,7 +19,13 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import ElementwiseProduct, IndexToString, Normalizer
+from pyspark.ml.feature import (
+    IDF,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    IndexToString,
+    Normalizer,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -26,11 +33,12 @@ from pyspark.sql import functions as F
 
 from topicspan.operators.features import (
     DEFAULT_VOCABULARY,
-    count_stage,
+    fit_counter,
     has_words,
     idf_values,
+    indexed_words,
     label_indexer,
-    model_vocabulary,
+    presence_counter,
     stop_word_stage,
     word_indices,
     word_stage,
@@ -47,7 +55,7 @@ _BLOCK_VALUES = 1 << 22
 class LabelModel:
     """A trained classifier with what it takes to score and to extend it."""
 
-    words: list[str]
+    counter: CountVectorizerModel
     frequencies: list[int]
     documents: int
     classes: list[str]
@@ -59,8 +67,11 @@ class LabelModel:
     def pipeline(self, idf: np.ndarray | None = None) -> PipelineModel:
         """Text to label with TF-IDF features; ``idf`` replaces the stored one."""
         return PipelineModel(
-            [*_tf_idf_stages(self.words, self._idf() if idf is None else idf, self.stop_words),
-             self.network, self._names()]
+            [
+                *_tf_idf_stages(self.counter, self._idf() if idf is None else idf, self.stop_words),
+                self.network,
+                self._names(),
+            ]
         )
 
     def binary_pipeline(self) -> PipelineModel:
@@ -68,8 +79,15 @@ class LabelModel:
 
         Nothing about the corpus is needed, so it also serves streams.
         """
-        counts = count_stage(self.words, binary=True, words_col="all_words").setOutputCol("features")
-        return PipelineModel([word_stage(), counts, self.network, self._names()])
+        presence = presence_counter(self.counter, "all_words", "features")
+        return PipelineModel([word_stage(), presence, self.network, self._names()])
+
+    def document_frequencies(self) -> DataFrame:
+        """(termIndex, term, df): what a saved model needs to be extended."""
+        spark = self.splits.sparkSession
+        df = pd.DataFrame({"termIndex": range(len(self.frequencies)), "df": self.frequencies})
+        found = spark.createDataFrame(df, "termIndex int, df long")
+        return indexed_words(spark, self.counter.vocabulary).join(found, "termIndex")
 
     def _idf(self) -> np.ndarray:
         return idf_values(self.frequencies, self.documents)
@@ -78,12 +96,14 @@ class LabelModel:
         return IndexToString(inputCol="prediction", outputCol="predictTag", labels=self.classes)
 
 
-def _tf_idf_stages(words: Sequence[str], idf: np.ndarray, stop_words: Sequence[str]) -> list:
+def _tf_idf_stages(
+    counter: CountVectorizerModel, idf: np.ndarray, stop_words: Sequence[str]
+) -> list:
     """Word counts / document total * idf, all inside the row."""
     return [
         word_stage(),
         stop_word_stage(stop_words),
-        count_stage(words),
+        counter,
         Normalizer(p=1.0, inputCol="counts", outputCol="tf"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="features"),
     ]
@@ -156,22 +176,27 @@ def train_labels(
     """Split, train and keep the history. ``labelled`` has docid, text, label."""
     listed = english_stop_words() if stop_words is None else tuple(stop_words)
     rows = labelled.select("docid", "text", F.col(label).alias("label")).na.drop("any")
-    counts = token_counts(rows, listed)
-    vocabulary = model_vocabulary(counts, vocabulary_size, min_documents)
-    words, frequencies = [w for w, _ in vocabulary], [f for _, f in vocabulary]
-    # Totals are over known words, and so is the number of documents.
-    plain = PipelineModel([word_stage(), stop_word_stage(listed), count_stage(words)])
-    documents = plain.transform(rows).where(has_words("counts")).count()
+    counter = fit_counter(token_counts(rows, listed), vocabulary_size, min_documents)
     indexer = label_indexer(rows)
-    features = PipelineModel(_tf_idf_stages(words, idf_values(frequencies, documents), listed))
+    plain = PipelineModel([indexer, word_stage(), stop_word_stage(listed), counter])
+    # Persisted before it is filtered: the filter must not run the stages again.
+    read = (
+        plain.transform(rows)
+        .select("docid", "label", "label_index", "counts")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    counted = read.where(has_words("counts"))
+    seen = IDF(inputCol="counts", outputCol="unused").fit(counted)
+    frequencies, documents = seen.docFreq, seen.numDocs
+    weights = PipelineModel(_tf_idf_stages(counter, idf_values(frequencies, documents), listed)[3:])
     weighted = (
-        indexer.transform(features.transform(rows).where(has_words("counts")))
+        weights.transform(counted)
         .select("docid", "label", "label_index", "features")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     vectors = stratified_split(weighted, "label", fractions, seed)
     splits = checkpointed(vectors.select("docid", "label", "split"))
-    layers = layer_sizes(len(words), len(indexer.labels))
+    layers = layer_sizes(len(frequencies), len(indexer.labels))
     network, history = train_network(
         split_part(vectors, "train"),
         split_part(vectors, "validation"),
@@ -181,8 +206,9 @@ def train_labels(
         seed,
     )
     weighted.unpersist()
+    read.unpersist()
     return LabelModel(
-        words=words,
+        counter=counter,
         frequencies=frequencies,
         documents=documents,
         classes=list(indexer.labels),
@@ -287,9 +313,12 @@ def classify_with_tf_idf(model: LabelModel, numbered: DataFrame) -> DataFrame:
     Only the new texts are read. What they add to df and N is aggregated to
     the size of the vocabulary and added to the stored frequencies.
     """
-    vectors = PipelineModel(
-        [word_stage(), stop_word_stage(model.stop_words), count_stage(model.words)]
-    ).transform(numbered)
+    vectors = (
+        PipelineModel([word_stage(), stop_word_stage(model.stop_words), model.counter])
+        .transform(numbered)
+        .select("counts")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     seen = (
         vectors.select(F.explode(word_indices("counts")).alias("at"))
         .groupBy("at")
@@ -299,6 +328,7 @@ def classify_with_tf_idf(model: LabelModel, numbered: DataFrame) -> DataFrame:
     frequencies = np.asarray(model.frequencies, dtype="int64")
     frequencies[seen["at"].to_numpy(dtype="int64")] += seen["df"].to_numpy(dtype="int64")
     documents = model.documents + vectors.where(has_words("counts")).count()
+    vectors.unpersist()
     scored = model.pipeline(idf_values(frequencies, documents)).transform(numbered)
     return class_scores(scored, model.classes)
 

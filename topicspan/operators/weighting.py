@@ -34,6 +34,9 @@ def tf_idf(counts: DataFrame) -> DataFrame:
     a window would pull all rows of a frequent word into one task, whereas
     the aggregate combines before the shuffle and AQE splits a skewed join.
     """
+    # Joins would add these conditions to some of the branches only, and their
+    # shuffles could then not be shared.
+    counts = counts.where(F.col("docid").isNotNull() & F.col("word").isNotNull())
     totals = document_totals(counts)
     documents = totals.agg(F.count_if(F.col("total") > 0)).scalar()
     return (

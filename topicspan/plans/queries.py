@@ -512,7 +512,7 @@ def topic_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = discover(documents(spark, sf_dir), _TOPICS, **_LDA)
     path = scratch_path(spark, "topic-bundle")
     save_topic_bundle(
-        path, found.model, found.corpus, found.tokens, found.vectors, {"numTopics": _TOPICS}
+        path, found.model, found.corpus, found.tokens, models.document_term_rows(found.vectors), {"numTopics": _TOPICS}
     )
     bundle = load_topic_bundle(spark, path)
     labels = numbered_labels(spark, bundle.metadata["numTopics"])
@@ -523,8 +523,7 @@ def topic_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classifier_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = _label_model(spark, sf_dir)
     path = scratch_path(spark, "label-bundle")
-    words = features.indexed_words(spark, model.words)
-    save_label_bundle(path, model.pipeline(), words, {"documents": model.documents, "classes": model.classes})
+    save_label_bundle(path, model.pipeline(), model.document_frequencies(), {"documents": model.documents, "classes": model.classes})
     bundle = load_label_bundle(spark, path)
     scored = bundle.model.transform(short_texts(spark, sf_dir))
     return classifier.class_scores(scored, bundle.metadata["classes"])
