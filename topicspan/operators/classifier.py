@@ -18,7 +18,6 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF,
     CountVectorizerModel,
@@ -125,31 +124,34 @@ def _network(layers: Sequence[int], iterations: int, seed: int) -> MultilayerPer
     )
 
 
-def evaluate(predictions: DataFrame) -> dict[str, float]:
-    """Loss and accuracy of rows with label index, prediction, probability."""
-    common = {"labelCol": "label_index", "predictionCol": "prediction"}
-    loss = MulticlassClassificationEvaluator(
-        metricName="logLoss", probabilityCol="probability", **common
-    )
-    accuracy = MulticlassClassificationEvaluator(metricName="accuracy", **common)
-    return {"loss": loss.evaluate(predictions), "accuracy": accuracy.evaluate(predictions)}
+def loss_and_accuracy() -> list[Column]:
+    """Aggregates over rows with label_index, prediction and probability."""
+    own = F.get(vector_to_array("probability"), F.col("label_index").cast("int"))
+    hit = (F.col("prediction") == F.col("label_index")).cast("double")
+    return [F.avg(_log_loss(own)).alias("loss"), F.avg(hit).alias("accuracy")]
+
+
+def _log_loss(probability: Column) -> Column:
+    """-ln(p), with p kept away from 0 and 1."""
+    floor = F.lit(1e-15)
+    return -F.log(F.least(F.greatest(probability, floor), F.lit(1.0) - floor))
 
 
 def train_network(
-    train: DataFrame,
-    validation: DataFrame,
+    vectors: DataFrame,
     layers: Sequence[int],
     epochs: int = 50,
     epochs_per_step: int = 10,
     seed: int = 1234,
 ) -> tuple[MultilayerPerceptronClassificationModel, list[tuple[int, str, str, float]]]:
-    """Train in steps of a few epochs and score both sets after each step.
+    """Train in steps of a few epochs; score both sets in one pass after each.
 
     A step starts from the weights of the one before. L-BFGS begins anew with
     it, so the curve is not that of one uninterrupted fit.
     """
-    model, history = None, []
-    done = 0
+    train = split_part(vectors, "train")
+    scored_sets = {"train": "training", "validation": "validation"}
+    model, history, done = None, [], 0
     while done < epochs:
         step = min(epochs_per_step, epochs - done)
         network = _network(layers, step, seed)
@@ -157,8 +159,10 @@ def train_network(
             network = network.setInitialWeights(model.weights)
         model = network.fit(train)
         done += step
-        for name, rows in (("training", train), ("validation", validation)):
-            history += [(done, name, m, v) for m, v in evaluate(model.transform(rows)).items()]
+        scored = model.transform(vectors.where(F.col("split").isin(*scored_sets)))
+        for row in scored.groupBy("split").agg(*loss_and_accuracy()).collect():
+            name = scored_sets[row["split"]]
+            history += [(done, name, m, row[m]) for m in ("loss", "accuracy")]
     return model, history
 
 
@@ -198,8 +202,7 @@ def train_labels(
     splits = checkpointed(vectors.select("docid", "label", "split"))
     layers = layer_sizes(len(frequencies), len(indexer.labels))
     network, history = train_network(
-        split_part(vectors, "train"),
-        split_part(vectors, "validation"),
+        vectors,
         layers,
         epochs,
         epochs_per_step,
@@ -265,10 +268,7 @@ def with_label_index(model: LabelModel, rows: DataFrame, label: str = "label") -
 def evaluate_labels(model: LabelModel, labelled: DataFrame, split: str = "test") -> DataFrame:
     """One row (loss, accuracy) for the documents of a split."""
     part = labelled.join(split_part(model.splits, split).select("docid"), "docid", "left_semi")
-    scores = evaluate(model.pipeline().transform(with_label_index(model, part)))
-    return labelled.sparkSession.createDataFrame(
-        [(scores["loss"], scores["accuracy"])], "loss double, accuracy double"
-    )
+    return model.pipeline().transform(with_label_index(model, part)).agg(*loss_and_accuracy())
 
 
 def split_predictions(model: LabelModel, labelled: DataFrame, split: str = "test") -> DataFrame:
@@ -283,11 +283,10 @@ def join_predictions(predictions: DataFrame, corpus: DataFrame) -> DataFrame:
     return predictions.select("docid", "label", "predictTag").join(corpus, "docid")
 
 
-def accuracy_and_loss(predictions: DataFrame, floor: float = 1e-15) -> DataFrame:
+def accuracy_and_loss(predictions: DataFrame) -> DataFrame:
     """One row (loss, accuracy) from (label, predictTag, probability of label)."""
-    p = F.least(F.greatest(F.col("probability"), F.lit(floor)), F.lit(1.0 - floor))
     return predictions.agg(
-        F.avg(-F.log(p)).alias("loss"),
+        F.avg(_log_loss(F.col("probability"))).alias("loss"),
         F.avg((F.col("label") == F.col("predictTag")).cast("double")).alias("accuracy"),
     )
 
