@@ -207,7 +207,8 @@ def test_new_text_features_use_the_idf_of_the_union(spark):
         [("5", "red car unseen"), ("6", "car car"), ("7", "unseen")], "docid string, text string"
     )
     counts = tokens.token_counts(docs)
-    weights = weighting.new_text_tf_idf(counts, weighting.new_text_counts(new, counts))
+    fresh = weighting.new_text_counts(new, counts)
+    weights = weighting.new_text_tf_idf(*weighting.corpus_statistics(counts), fresh)
     idf = {r["word"]: r["idf"] for r in weights.collect()}
     assert idf == {"red": pytest.approx(math.log(6 / 2)), "car": pytest.approx(math.log(6 / 4))}
     scores = classifier.classify_with_tf_idf(model, new)

@@ -197,7 +197,7 @@ def test_new_texts_get_their_own_ids_and_rows(spark, rows):
     fresh = weighting.new_text_counts(numbered, counts)
     assert rows(fresh) == [("11", "apple", 2), ("12", "plum", 1)]
     whole = weighting.select_new(weighting.extended_tf_idf(counts, fresh), numbered)
-    fast = weighting.new_text_tf_idf(counts, fresh)
+    fast = weighting.new_text_tf_idf(*weighting.corpus_statistics(counts), fresh)
     assert rows(whole) == rows(fast)
     assert fast.where("docid = '11'").first()["idf"] == pytest.approx(math.log(4 / 2))
 
@@ -218,6 +218,20 @@ def test_row_ids_are_complete_and_in_order(spark):
     assert unordered.agg(F.count_distinct("rid"), F.min("rid"), F.max("rid")).first()[:] == (5000, 11, 5010)
 
 
+def test_row_ids_spread_a_hot_key_and_copies(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("v"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # this little data would go into one task
+    try:
+        ids = with_row_ids(df, "rid", ["v"])
+    finally:
+        spark.conf.unset(coalesce)
+    assert ids.agg(F.count_distinct("rid"), F.min("rid"), F.max("rid")).first()[:] == (6000, 1, 6000)
+    assert ids.where("v = 1").agg(F.max("rid")).first()[0] == 4000
+    per_task = ids.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < 2000
+
+
 def test_largest_id_ignores_what_is_not_a_number(spark):
     df = spark.createDataFrame([("7",), ("12",), ("x",)], "docid string")
     assert largest_id(df) == 12

@@ -21,8 +21,12 @@ def with_row_ids(
     Every partition numbers its own rows; partition offsets come from one
     count per partition. The rows are written to the shared folder first, so
     that both passes, and any task that is run again, see the same partitions.
+
+    Rows with equal keys are ordered by a hash of the row, and copies of a row
+    at random: otherwise a frequent key would be sorted in a single task.
     """
-    rows = df.orderBy(*order_by) if order_by else df
+    ties = (F.xxhash64(*df.columns), F.rand(seed=42))
+    rows = df.orderBy(*order_by, *ties) if order_by else df
     fixed = checkpointed(rows)
     placed = fixed.withColumn("__part", F.spark_partition_id()).withColumn(
         "__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspan.functions import ngram_array, word_array
+from topicspan.session import sized
 
 
 @cache
@@ -32,7 +33,8 @@ def without_stop_words(
     anti join, broadcast or shuffled by its size.
     """
     if isinstance(stop_words, DataFrame):
-        return tokens.join(stop_words.select("word").distinct(), "word", "left_anti").select(*tokens.columns)
+        listed = sized(stop_words.select("word").distinct())
+        return tokens.join(listed, "word", "left_anti").select(*tokens.columns)
     listed = english_stop_words() if stop_words is None else tuple(stop_words)
     return tokens.where(~F.col("word").isin(*listed)) if listed else tokens
 

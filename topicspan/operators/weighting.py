@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspan.operators.ids import largest_id, with_row_ids
-from topicspan.operators.tokens import known_words_only, token_counts, vocabulary
+from topicspan.operators.tokens import known_words_only, token_counts
 
 TF_IDF_COLUMNS = ("docid", "word", "n", "tf", "idf", "tf_idf")
 
@@ -66,13 +67,23 @@ def append_texts(corpus: DataFrame, numbered: DataFrame) -> DataFrame:
     return corpus.select("docid", "text").unionByName(numbered.select("docid", "text"))
 
 
+def corpus_statistics(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(word, df) of a corpus, persisted, and its number of documents.
+
+    All that later texts need to be weighted. ``counts`` is read twice; pass
+    the stored token table.
+    """
+    frequencies = document_frequencies(counts).persist(StorageLevel.MEMORY_AND_DISK)
+    return frequencies, counts.select("docid").distinct().count()
+
+
 def new_text_counts(
     numbered: DataFrame,
-    counts: DataFrame,
+    known: DataFrame,
     stop_words: Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
-    """Token counts of new texts over the words the corpus knows."""
-    return known_words_only(token_counts(numbered, stop_words), vocabulary(counts))
+    """Token counts of new texts over known words (a table with ``word``)."""
+    return known_words_only(token_counts(numbered, stop_words), known)
 
 
 def select_new(rows: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -88,27 +99,28 @@ def extended_tf_idf(counts: DataFrame, new_counts: DataFrame) -> DataFrame:
     return tf_idf(counts.unionByName(new_counts))
 
 
-def new_text_tf_idf(counts: DataFrame, new_counts: DataFrame) -> DataFrame:
+def new_text_tf_idf(frequencies: DataFrame, documents: int, new_counts: DataFrame) -> DataFrame:
     """The rows of :func:`extended_tf_idf` that belong to new texts.
 
-    Only the frequencies of the corpus are needed for them: df and N of the
-    union are sums, since no document is in both tables.
+    The corpus enters by its statistics only: df and N of the union are sums,
+    since no document is in both tables.
     """
-    frequencies = (
-        document_frequencies(counts)
-        .unionByName(document_frequencies(new_counts))
-        .groupBy("word")
-        .agg(F.sum("df").alias("df"))
-    )
+    new_counts = new_counts.where(F.col("docid").isNotNull() & F.col("word").isNotNull())
     new_totals = document_totals(new_counts)
-    documents = (
-        document_totals(counts).agg(F.count_if(F.col("total") > 0)).scalar()
-        + new_totals.agg(F.count_if(F.col("total") > 0)).scalar()
-    )
+    added = document_frequencies(new_counts).withColumnRenamed("df", "added")
+    united = F.lit(documents) + new_totals.agg(F.count_if(F.col("total") > 0)).scalar()
+    # Every new row has a known word, so an inner join loses none.
     return (
         new_counts.join(new_totals, "docid")
+        .join(added, "word")
         .join(frequencies, "word")
-        .select("docid", "word", "n", F.col("n") / F.col("total"), F.log(documents / F.col("df")))
+        .select(
+            "docid",
+            "word",
+            "n",
+            F.col("n") / F.col("total"),
+            F.log(united / (F.col("df") + F.col("added"))),
+        )
         .toDF("docid", "word", "n", "tf", "idf")
         .withColumn("tf_idf", F.col("tf") * F.col("idf"))
     )

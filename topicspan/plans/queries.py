@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,25 +132,31 @@ def corpus_with_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighting.append_texts(corpus, new_texts(spark, sf_dir, corpus))
 
 
+def _stored_counts(corpus: DataFrame) -> DataFrame:
+    """The token table; a user has it saved with the model."""
+    return tokens.token_counts(corpus).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @query
 def new_text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = documents(spark, sf_dir)
-    return weighting.new_text_counts(new_texts(spark, sf_dir, corpus), tokens.token_counts(corpus))
+    known = tokens.vocabulary(tokens.token_counts(corpus))
+    return weighting.new_text_counts(new_texts(spark, sf_dir, corpus), known)
 
 
 @query
 def new_text_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = documents(spark, sf_dir)
-    counts = tokens.token_counts(corpus)
-    new = weighting.new_text_counts(new_texts(spark, sf_dir, corpus), counts)
-    return rounded(weighting.new_text_tf_idf(counts, new), "tf", "idf", "tf_idf")
+    frequencies, size = weighting.corpus_statistics(_stored_counts(corpus))
+    new = weighting.new_text_counts(new_texts(spark, sf_dir, corpus), frequencies)
+    return rounded(weighting.new_text_tf_idf(frequencies, size, new), "tf", "idf", "tf_idf")
 
 
 @query
 def extended_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = documents(spark, sf_dir)
-    counts = tokens.token_counts(corpus)
-    new = weighting.new_text_counts(new_texts(spark, sf_dir, corpus), counts)
+    counts = _stored_counts(corpus)
+    new = weighting.new_text_counts(new_texts(spark, sf_dir, corpus), tokens.vocabulary(counts))
     return rounded(weighting.extended_tf_idf(counts, new), "tf", "idf", "tf_idf")
 
 
@@ -287,7 +294,8 @@ def related_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     clustered = clusters.cluster_documents(
         corpus, stand_in_posterior(counts, beta, k), numbered_labels(spark, k)
     )
-    arrived = weighting.new_text_counts(new_texts(spark, sf_dir, corpus), counts)
+    known = tokens.vocabulary(counts)
+    arrived = weighting.new_text_counts(new_texts(spark, sf_dir, corpus), known)
     predicted = ranking.top_topic(stand_in_posterior(arrived, beta, k))
     return clusters.related_documents(clustered, predicted).select("topic", "label", "docid", "probability")
 
