@@ -294,9 +294,9 @@ def test_vocabulary_choice_is_exact_at_the_cut(spark, rows):
         "docid string, word string, n long",
     )
     for size, expected in ((1, "a"), (2, "ab"), (3, "abc"), (4, "abcd"), (5, "abcde"), (9, "abcde")):
-        found = rows(features.model_vocabulary(counts, size), "word")
+        found = rows(features.model_vocabulary(features.word_totals(counts), size), "word")
         assert [w for (w,) in found] == list(expected)
-    assert rows(features.model_vocabulary(counts, 9, min_documents=2), "word", "df") == [("a", 2)]
+    assert rows(features.word_totals(counts, min_documents=2), "word", "df") == [("a", 2)]
 
 
 def test_features_drop_incomplete_rows(spark, rows):
