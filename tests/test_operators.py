@@ -271,6 +271,16 @@ def test_split_of_a_hot_class_equals_row_number(spark):
         assert found.exceptAll(expected).isEmpty()
 
 
+def test_copies_of_an_id_share_a_split(spark):
+    docs = spark.range(3000).select(
+        F.when(F.col("id") < 1000, "same").otherwise(F.col("id").cast("string")).alias("docid"),
+        F.lit("x").alias("label"),
+    )
+    found = splits.stratified_split(docs)
+    assert found.count() == 3000
+    assert found.where("docid = 'same'").select("split").distinct().count() == 1
+
+
 def test_class_shares_add_up(spark):
     docs = spark.range(100).select(F.col("id").cast("string").alias("docid"), (F.col("id") % 3).alias("label"))
     shares = splits.class_shares(splits.stratified_split(docs))

@@ -16,17 +16,15 @@ from topicspan.functions import page_of
 from topicspan.session import sized
 
 
-def group_max(df: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+def group_max(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows that carry the maximum of their group, all of them on a tie.
 
-    Several values mean one filter after the other: the largest first value,
-    and among those rows the largest second value.
+    ``df`` is read twice; persist it if it is expensive.
     """
-    best = df.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__best"))
-    hit = F.lit(True)
-    for v in values:
-        hit = hit & (F.col(v) == F.col(f"__best.{v}"))
-    return df.join(sized(best), list(keys)).where(hit).select(*df.columns)
+    best = df.groupBy(*keys).agg(F.max(value).alias("__best"))
+    return (
+        df.join(sized(best), list(keys)).where(F.col(value) == F.col("__best")).select(*df.columns)
+    )
 
 
 def top_n(df: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFrame:
