@@ -22,7 +22,13 @@ from topicspan.sources import (
     save_label_bundle,
     save_topic_bundle,
 )
-from topicspan.streaming import run_available, stream_labels, stream_topics, text_stream
+from topicspan.streaming import (
+    run_available,
+    run_continuously,
+    stream_labels,
+    stream_topics,
+    text_stream,
+)
 
 K = 4
 LDA = {"iterations": 5, "sample": 0.3}
@@ -250,3 +256,21 @@ def test_label_stream_equals_batch_and_does_not_repeat(trained, spark, sf_dir, r
         run_available(stream_labels(pipeline, arriving(spark, sf_dir)), f"{path}/rows", f"{path}/progress")
     batch = stream_labels(pipeline, short_texts(spark, sf_dir))
     assert rows(spark.read.parquet(f"{path}/rows")) == rows(batch)
+
+
+def test_continuous_stream_picks_up_new_files(found, spark, tmp_path):
+    folder, path = str(tmp_path / "in"), scratch_path(spark, "test-stream")
+    schema = "docid string, text string"
+    word = found.top.first()["term"]
+    spark.createDataFrame([("1", word)], schema).write.parquet(folder)
+    scored = stream_topics(found.model, text_stream(spark, folder, schema), numbered_labels(spark, K))
+    query = run_continuously(scored, f"{path}/rows", f"{path}/progress", "0 seconds")
+    try:
+        query.processAllAvailable()
+        assert spark.read.parquet(f"{path}/rows").count() == 1
+        spark.createDataFrame([("2", word), ("3", "")], schema).write.mode("append").parquet(folder)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    out = {r["docid"]: r["topic"] for r in spark.read.parquet(f"{path}/rows").collect()}
+    assert set(out) == {"1", "2", "3"} and out["1"] == out["2"] and out["3"] is None

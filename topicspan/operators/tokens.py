@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspan.functions import ngram_array, word_array
+from topicspan.operators.lookup import frequent_keys, look_up
 from topicspan.session import sized
 
 
@@ -56,8 +57,18 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def known_words_only(tokens: DataFrame, known: DataFrame) -> DataFrame:
-    """Keep the words that a model has seen."""
-    return tokens.join(known.select("word"), "word", "left_semi").select(*tokens.columns)
+    """Keep the words that a model has seen.
+
+    Frequent words of ``tokens``, known or not, do not enter the shuffle key.
+    """
+    flags = known.select("word").distinct().withColumn("__seen", F.lit(True))
+    rows = F.count_if(F.col("n") > 0) if "n" in tokens.columns else F.count(F.lit(1))
+    frequent = frequent_keys(tokens.groupBy("word").agg(rows.alias("__rows")), "__rows")
+    hot = F.broadcast(frequent.select("word")).join(flags, "word", "left").select(
+        "word", F.coalesce("__seen", F.lit(False)).alias("__seen")
+    )
+    found = look_up(tokens, flags, hot, "word", ["__seen"], spread_by="docid")
+    return found.where(F.col("__seen")).select(*tokens.columns)
 
 
 def ngrams(corpus: DataFrame, n: int = 3, keep: Sequence[str] = ("topic",)) -> DataFrame:

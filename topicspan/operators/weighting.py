@@ -1,22 +1,25 @@
-"""TF-IDF as in tidy text mining: tf = n / doc total, idf = ln(N / df)."""
+"""Unsmoothed TF-IDF: tf = n / document total, idf = ln(N / df)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspan.operators.ids import largest_id, with_row_ids
+from topicspan.operators.lookup import frequent_keys, look_up
 from topicspan.operators.tokens import known_words_only, token_counts
 
 TF_IDF_COLUMNS = ("docid", "word", "n", "tf", "idf", "tf_idf")
 
 
 def document_totals(counts: DataFrame) -> DataFrame:
-    """(docid, total) words of each document."""
-    return counts.groupBy("docid").agg(F.sum("n").alias("total"))
+    """(docid, total, words): words and distinct words of each document."""
+    return counts.groupBy("docid").agg(
+        F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("words")
+    )
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -28,22 +31,36 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("df"))
 
 
+def _shared(counts: DataFrame) -> DataFrame:
+    """Conditions that joins would add to some branches of a plan only, and
+    that would keep their shuffles from being shared."""
+    return counts.where(F.col("docid").isNotNull() & F.col("word").isNotNull())
+
+
 def tf_idf(counts: DataFrame) -> DataFrame:
     """(docid, word, n, tf, idf, tf_idf).
 
     Totals and document frequencies are aggregates joined back, not windows:
-    a window would pull all rows of a frequent word into one task, whereas
-    the aggregate combines before the shuffle and AQE splits a skewed join.
+    a window would pull all rows of a frequent word into one task, whereas an
+    aggregate combines before the shuffle. The joins take frequent words, and
+    very long documents, out of the shuffle key.
     """
-    # Joins would add these conditions to some of the branches only, and their
-    # shuffles could then not be shared.
-    counts = counts.where(F.col("docid").isNotNull() & F.col("word").isNotNull())
+    counts = _shared(counts)
     totals = document_totals(counts)
+    frequencies = document_frequencies(counts)
     documents = totals.agg(F.count_if(F.col("total") > 0)).scalar()
+    with_total = look_up(
+        counts, totals, frequent_keys(totals, "words"), "docid", ["total"], spread_by="word"
+    )
+    with_both = look_up(
+        with_total, frequencies, frequent_keys(frequencies, "df"), "word", ["df"], spread_by="docid"
+    )
+    return _weighted(with_both, documents, F.col("df"))
+
+
+def _weighted(rows: DataFrame, documents: Column, df: Column) -> DataFrame:
     return (
-        counts.join(totals, "docid")
-        .join(document_frequencies(counts), "word")
-        .select("docid", "word", "n", F.col("n") / F.col("total"), F.log(documents / F.col("df")))
+        rows.select("docid", "word", "n", F.col("n") / F.col("total"), F.log(documents / df))
         .toDF("docid", "word", "n", "tf", "idf")
         .withColumn("tf_idf", F.col("tf") * F.col("idf"))
     )
@@ -105,22 +122,16 @@ def new_text_tf_idf(frequencies: DataFrame, documents: int, new_counts: DataFram
     The corpus enters by its statistics only: df and N of the union are sums,
     since no document is in both tables.
     """
-    new_counts = new_counts.where(F.col("docid").isNotNull() & F.col("word").isNotNull())
-    new_totals = document_totals(new_counts)
+    new_counts = _shared(new_counts)
+    totals = document_totals(new_counts)
     added = document_frequencies(new_counts).withColumnRenamed("df", "added")
-    united = F.lit(documents) + new_totals.agg(F.count_if(F.col("total") > 0)).scalar()
-    # Every new row has a known word, so an inner join loses none.
-    return (
-        new_counts.join(new_totals, "docid")
-        .join(added, "word")
-        .join(frequencies, "word")
-        .select(
-            "docid",
-            "word",
-            "n",
-            F.col("n") / F.col("total"),
-            F.log(united / (F.col("df") + F.col("added"))),
-        )
-        .toDF("docid", "word", "n", "tf", "idf")
-        .withColumn("tf_idf", F.col("tf") * F.col("idf"))
+    united = F.lit(documents) + totals.agg(F.count_if(F.col("total") > 0)).scalar()
+    # One row per word: only the words of the new texts are looked up.
+    sums = added.join(frequencies, "word").select("word", "added", (F.col("df") + F.col("added")).alias("df"))
+    with_total = look_up(
+        new_counts, totals, frequent_keys(totals, "words"), "docid", ["total"], spread_by="word"
+    )
+    with_both = look_up(
+        with_total, sums, frequent_keys(sums, "added"), "word", ["df"], spread_by="docid"
     )
+    return _weighted(with_both, united, F.col("df"))

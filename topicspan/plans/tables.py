@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspan.functions import softmax
+from topicspan.operators.lookup import frequent_keys, look_up
 from topicspan.operators.tokens import token_counts, without_stop_words, words
-from topicspan.operators.weighting import number_new_texts
+from topicspan.operators.weighting import document_frequencies, number_new_texts
 from topicspan.session import sized, spread
 from topicspan.sources.corpus import define_corpus
 
@@ -84,8 +85,12 @@ def stand_in_posterior(counts: DataFrame, beta: DataFrame, topics: int) -> DataF
     wide = beta.groupBy("term").agg(
         *[F.max(F.when(F.col("topic") == t, F.log("beta"))).alias(f"b{t}") for t in range(1, topics + 1)]
     )
+    wide = wide.withColumnRenamed("term", "word")
+    frequent = F.broadcast(frequent_keys(document_frequencies(counts), "df").select("word"))
+    logs = [f"b{t}" for t in range(1, topics + 1)]
     scores = (
-        counts.join(wide, counts["word"] == wide["term"])
+        look_up(counts, wide, wide.join(frequent, "word", "left_semi"), "word", logs, spread_by="docid")
+        .where(F.col("b1").isNotNull())
         .groupBy("docid")
         .agg(*[F.sum(F.col("n") * F.col(f"b{t}")).alias(f"s{t}") for t in range(1, topics + 1)])
         .select("docid", F.array(*[f"s{t}" for t in range(1, topics + 1)]).alias("scores"))
