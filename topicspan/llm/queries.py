@@ -42,3 +42,37 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return count_tokens(docs, F.col("text"), path("piece_bpe_32k.model"), [F.col("doc_id")])
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.secrets import described, scan_secrets
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, [F.col("doc_id")], F.col("text"))
+    kinds = F.transform("base", lambda s: s.kind)
+    of_kind = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long") for k in range(3)]
+    return found.select(
+        "doc_id",
+        of_kind[0].alias("n_assign"),
+        of_kind[1].alias("n_access"),
+        of_kind[2].alias("n_hex"),
+        F.sha2(described(F.col("base")), 256).alias("base_sha256"),
+        described(F.col("spans")).alias("spans"),
+    )
