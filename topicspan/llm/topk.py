@@ -47,6 +47,11 @@ def _matrix(lists: pd.Series, width: int, dtype=np.float64) -> np.ndarray:
     return out
 
 
+def _unpacked(packed: pd.Series | list, width: int) -> np.ndarray:
+    """Rows as a matrix of integers, from their bytes."""
+    return np.frombuffer(b"".join(packed), dtype=np.int64).reshape(len(packed), width)
+
+
 def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     squares = (rows**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * rows @ pivots.T
     return np.sqrt(np.maximum(squares, 0))
@@ -125,11 +130,14 @@ def top_k(
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = _distances(lifted(_matrix(b["v"], width)), pivots)
+            m = _matrix(b["v"], width, np.int64)
+            d = _distances(lifted(m), pivots)
             near = d.argmin(1)
-            yield b.assign(pivot=near.astype(np.int32), dist=d[np.arange(len(b)), near])
+            yield b.assign(
+                v=[r.tobytes() for r in m], pivot=near.astype(np.int32), dist=d[np.arange(len(b)), near]
+            )
 
-    keyed = stored(rows.mapInPandas(key, "id long, v array<long>, q boolean, pivot int, dist double"), "topk-keys")
+    keyed = stored(rows.mapInPandas(key, "id long, v binary, q boolean, pivot int, dist double"), "topk-keys")
     # Annuli of equal width between the nearest and the farthest row of a pivot.
     reach = keyed.groupBy("pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
     ring = F.least(
@@ -161,7 +169,7 @@ def top_k(
 
     def first_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gap, _ = gaps(_matrix(b["v"], width))
+            gap, _ = gaps(_unpacked(b["v"], width))
             visits = []
             for g in gap:
                 order = np.argsort(g, kind="stable")
@@ -169,8 +177,8 @@ def top_k(
                 visits.append(ann[order[:upto]].tolist())
             yield b.assign(visits=visits)
 
-    queries = rows.where("q").select("id", "v")
-    visiting = stored(queries.mapInPandas(first_visits, "id long, v array<long>, visits array<int>"), "topk-first")
+    queries = keyed.where("q").select("id", "v")
+    visiting = stored(queries.mapInPandas(first_visits, "id long, v binary, visits array<int>"), "topk-first")
     lots = 1 + visiting.count() // BLOCK
     first = stored(
         _search(visiting.select("id", "v", F.explode("visits").alias("annulus")), blocks, k, width, lots),
@@ -183,7 +191,7 @@ def top_k(
 
     def later_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gap, length = gaps(_matrix(b["v"], width))
+            gap, length = gaps(_unpacked(b["v"], width))
             visits = []
             for g, size, worst, done in zip(gap, length, b["worst"], b["visits"], strict=True):
                 # |q - v|^2 = |q|^2 + longest - 2 * score, with some room for rounding.
@@ -197,7 +205,7 @@ def top_k(
             yield b.assign(visits=visits)[["id", "v", "visits"]]
 
     limits = visiting.join(bound.withColumnRenamed("query_id", "id"), "id", "left")
-    rest = limits.mapInPandas(later_visits, "id long, v array<long>, visits array<int>").select(
+    rest = limits.mapInPandas(later_visits, "id long, v binary, visits array<int>").select(
         "id", "v", F.explode("visits").alias("annulus")
     )
     return _ranked(first.unionByName(_search(rest, blocks, k, width, lots)), k)
@@ -219,12 +227,12 @@ def _blocks(ringed: DataFrame) -> DataFrame:
                             "lo": [part["dist"].min()],
                             "hi": [part["dist"].max()],
                             "ids": [part["id"].tolist()],
-                            "vs": [part["v"].tolist()],
+                            "vs": [b"".join(part["v"])],
                         }
                     )
 
     return rows.select("annulus", "dist", "id", "v").mapInPandas(
-        pack, "annulus int, n long, lo double, hi double, ids array<long>, vs array<array<long>>"
+        pack, "annulus int, n long, lo double, hi double, ids array<long>, vs binary"
     ).withColumn("block", F.xxhash64("annulus", "ids"))
 
 
@@ -255,8 +263,8 @@ def _search(wanted: DataFrame, blocks: DataFrame, k: int, width: int, lots: int)
         for b in batches:
             for ids, vs, queries in zip(b["ids"], b["vs"], b["queries"], strict=True):
                 own = np.array([q["id"] for q in queries], dtype=np.int64)
-                left = _matrix([q["v"] for q in queries], width, np.int64)
-                right = _matrix(vs, width, np.int64)
+                left = _unpacked([q["v"] for q in queries], width)
+                right = np.frombuffer(vs, dtype=np.int64).reshape(len(ids), width)
                 i, found, score = _best(_products(left, right), np.asarray(ids, dtype=np.int64), own, k)
                 yield pd.DataFrame({"query_id": own[i] if len(i) else own[:0], "vec_id": found, "score": score}).astype(
                     "int64"
