@@ -105,3 +105,10 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
