@@ -112,3 +112,12 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicspan.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from topicspan.llm.packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
