@@ -9,8 +9,10 @@ Pieces, range-sorted by length, then find their slot by their position.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from topicspan.llm.common import running_sums, stored, texts_of, with_columns_of
 
 LENGTH = 4096
 END = 1  # the id that closes every document
-REMEMBERED = 300_000  # words whose ids a worker keeps; when full, it starts anew
+REMEMBERED = 1_000_000  # words whose ids a worker keeps; when full, it starts anew
 
 
 class WordEncoder:
@@ -39,25 +41,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.translate(_SPACE).split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in self.seen})
+        cut = [t.encode().split() for t in texts]  # at ASCII white space
+        words = set(chain.from_iterable(cut))
+        new = [w for w in words if w not in self.seen]
         if len(self.seen) + len(new) > REMEMBERED:
-            self.seen = {}
-            new = list({w for words in cut for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for word, e in zip(part, encoded, strict=True):
-                self.seen[word] = np.array(e.ids, dtype="<u4").tobytes()
+            self.seen, new = {}, list(words)
+        self.learn(new)
         look = self.seen.__getitem__
         return [b"".join(map(look, words)) for words in cut]
 
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new words. Case does not count, and neither does a full stop or a
+        comma behind a letter: the tokenizer lower-cases and cuts there anyway. So
+        most words are made from those that are known."""
+        made = []
+        for w in words:
+            core = w if b"<|" in w else w.lower()
+            bare = core.rstrip(b".,")
+            if not (bare and bare.decode()[-1].isalpha()):
+                bare = core
+            made.append((w, bare, core[len(bare) :]))
+        parts = {p for _, bare, tail in made for p in (bare, tail) if p and p not in self.seen}
+        unknown = list(parts)
+        for at in range(0, len(unknown), 20_000):
+            some = unknown[at : at + 20_000]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            for word, e in zip(some, encoded, strict=True):
+                self.seen[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for w, bare, tail in made:
+            self.seen[w] = self.seen[bare] + self.seen[tail] if tail else self.seen[bare]
+
 
-_SPACE = {c: " " for c in range(9, 14)}
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

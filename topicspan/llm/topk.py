@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from topicspan.llm.common import stored
 
-PIVOTS = 48  # rows with the lowest hash, at most
-ANNULI = 24  # per pivot
-BLOCK = 512  # rows of a block
+PIVOTS = 16  # rows with the lowest hash, at most
+ANNULI = 8  # per pivot
+BLOCK = 1024  # rows of a block, and about as many queries of a lot
+SALTS = 16  # copies of a lot of queries, for as many tasks at least
 EXACT = float(1 << 53)
 
 
@@ -47,9 +48,9 @@ def _matrix(lists: pd.Series, width: int, dtype=np.float64) -> np.ndarray:
     return out
 
 
-def _unpacked(packed: pd.Series | list, width: int) -> np.ndarray:
+def _unpacked(packed: pd.Series | list, width: int, kind: str) -> np.ndarray:
     """Rows as a matrix of integers, from their bytes."""
-    return np.frombuffer(b"".join(packed), dtype=np.int64).reshape(len(packed), width)
+    return np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), width).astype(np.int64)
 
 
 def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -117,8 +118,13 @@ def top_k(
     )
     # One pass for the width and the longest row; a bounded sample for the pivots.
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    shape = rows.agg(F.max(F.size("v")).alias("width"), F.max(squared).alias("longest")).first()
+    highest = F.array_max(F.transform("v", lambda x: F.greatest(x, -x - 1)))
+    shape = rows.agg(
+        F.max(F.size("v")).alias("width"), F.max(squared).alias("longest"), F.max(highest).alias("highest")
+    ).first()
     width, longest = shape["width"] or 0, float(shape["longest"] or 0.0)
+    # Vectors travel as bytes of the narrowest kind of integer that holds them all.
+    kind = next(k for k in ("<i2", "<i4", "<i8") if (shape["highest"] or 0) <= np.iinfo(k).max)
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(PIVOTS).select("v").toPandas()["v"]
 
     def lifted(m: np.ndarray) -> np.ndarray:
@@ -134,7 +140,7 @@ def top_k(
             d = _distances(lifted(m), pivots)
             near = d.argmin(1)
             yield b.assign(
-                v=[r.tobytes() for r in m], pivot=near.astype(np.int32), dist=d[np.arange(len(b)), near]
+                v=[r.tobytes() for r in m.astype(kind)], pivot=near.astype(np.int32), dist=d[np.arange(len(b)), near]
             )
 
     keyed = stored(rows.mapInPandas(key, "id long, v binary, q boolean, pivot int, dist double"), "topk-keys")
@@ -169,7 +175,7 @@ def top_k(
 
     def first_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gap, _ = gaps(_unpacked(b["v"], width))
+            gap, _ = gaps(_unpacked(b["v"], width, kind))
             visits = []
             for g in gap:
                 order = np.argsort(g, kind="stable")
@@ -179,9 +185,9 @@ def top_k(
 
     queries = keyed.where("q").select("id", "v")
     visiting = stored(queries.mapInPandas(first_visits, "id long, v binary, visits array<int>"), "topk-first")
-    lots = 1 + visiting.count() // BLOCK
+    lots = _lots(queries, 1 + visiting.count() // BLOCK)
     first = stored(
-        _search(visiting.select("id", "v", F.explode("visits").alias("annulus")), blocks, k, width, lots),
+        _search(visiting.select("id", F.explode("visits").alias("annulus")), lots, blocks, k, width, kind),
         "topk-found",
     )
     found = _ranked(first, k)
@@ -191,7 +197,7 @@ def top_k(
 
     def later_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            gap, length = gaps(_unpacked(b["v"], width))
+            gap, length = gaps(_unpacked(b["v"], width, kind))
             visits = []
             for g, size, worst, done in zip(gap, length, b["worst"], b["visits"], strict=True):
                 # |q - v|^2 = |q|^2 + longest - 2 * score, with some room for rounding.
@@ -202,13 +208,13 @@ def top_k(
                         1 + np.sqrt(longest) + size
                     )
                 visits.append(np.setdiff1d(ann[g <= radius], done).tolist())
-            yield b.assign(visits=visits)[["id", "v", "visits"]]
+            yield b.assign(visits=visits)[["id", "visits"]]
 
     limits = visiting.join(bound.withColumnRenamed("query_id", "id"), "id", "left")
-    rest = limits.mapInPandas(later_visits, "id long, v binary, visits array<int>").select(
-        "id", "v", F.explode("visits").alias("annulus")
+    rest = limits.mapInPandas(later_visits, "id long, visits array<int>").select(
+        "id", F.explode("visits").alias("annulus")
     )
-    return _ranked(first.unionByName(_search(rest, blocks, k, width, lots)), k)
+    return _ranked(first.unionByName(_search(rest, lots, blocks, k, width, kind)), k)
 
 
 def _blocks(ringed: DataFrame) -> DataFrame:
@@ -236,41 +242,53 @@ def _blocks(ringed: DataFrame) -> DataFrame:
     ).withColumn("block", F.xxhash64("annulus", "ids"))
 
 
-def _search(wanted: DataFrame, blocks: DataFrame, k: int, width: int, lots: int) -> DataFrame:
+def _lots(queries: DataFrame, lots: int) -> DataFrame:
+    """Queries dealt by hash into lots of about ``BLOCK``, several copies of each."""
+    return stored(
+        queries.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)))
+        .groupBy("lot")
+        .agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
+        "topk-lots",
+    ).withColumn("lots", F.lit(lots))
+
+
+def _search(
+    wanted: DataFrame, lots: DataFrame, blocks: DataFrame, k: int, width: int, kind: str
+) -> DataFrame:
     """(query_id, vec_id, score): the k best of each wanted (query, annulus) and block.
 
-    Queries are dealt by hash into ``lots`` of about a block, and those of a lot
-    that want the same annulus are packed together. An annulus of many blocks is
-    spread over the tasks block by block.
+    Ids of a lot that want the same annulus go together; a lot's vectors meet a
+    block once. Pairs of block and lot are spread over the tasks one by one.
     """
-    packed = (
-        wanted.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)))
-        .groupBy("annulus", "lot")
-        .agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    number = lots.select("lots").first()
+    deal = F.pmod(F.xxhash64("id"), F.lit(number["lots"] if number else 1))
+    ids = wanted.withColumn("lot", deal).groupBy("annulus", "lot").agg(F.collect_list("id").alias("wants"))
+    pairs = (
+        blocks.select("annulus", "block")
+        .join(ids.hint("merge"), "annulus")
+        .withColumn("salt", F.pmod(F.xxhash64("block", "lot"), F.lit(SALTS)).cast("int"))
     )
-    parts = packed.select(
-        "annulus",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.size("queries") - 1) / BLOCK).cast("int")),
-                lambda i: F.slice("queries", i * BLOCK + 1, F.lit(BLOCK)),
-            )
-        ).alias("queries"),
+    met = (
+        pairs.join(lots.drop("lots").hint("merge"), ["lot", "salt"])
+        .join(blocks.select("block", "ids", "vs").hint("merge"), "block")
+        .repartition("block", "lot")
     )
-    pairs = blocks.select("annulus", "block", "ids", "vs").join(parts, "annulus").repartition("block")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for ids, vs, queries in zip(b["ids"], b["vs"], b["queries"], strict=True):
+            for ids, vs, wants, queries in zip(b["ids"], b["vs"], b["wants"], b["queries"], strict=True):
+                chosen = set(wants)
+                queries = [q for q in queries if q["id"] in chosen]
                 own = np.array([q["id"] for q in queries], dtype=np.int64)
-                left = _unpacked([q["v"] for q in queries], width)
-                right = np.frombuffer(vs, dtype=np.int64).reshape(len(ids), width)
+                left = _unpacked([q["v"] for q in queries], width, kind)
+                right = _unpacked([vs], width * len(ids), kind).reshape(len(ids), width)
                 i, found, score = _best(_products(left, right), np.asarray(ids, dtype=np.int64), own, k)
-                yield pd.DataFrame({"query_id": own[i] if len(i) else own[:0], "vec_id": found, "score": score}).astype(
-                    "int64"
-                )
+                yield pd.DataFrame({"query_id": own[np.asarray(i, dtype=int)], "vec_id": found, "score": score}).astype("int64")
 
-    return pairs.select("ids", "vs", "queries").mapInPandas(meet, "query_id long, vec_id long, score long")
+    return met.select("ids", "vs", "wants", "queries").mapInPandas(
+        meet, "query_id long, vec_id long, score long"
+    )
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
