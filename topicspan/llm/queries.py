@@ -121,3 +121,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicspan.llm.packing import packed_documents
 
     return packed_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.quality_lm import classify
+
+    judged = classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"]
+    )
+    return judged.select("row.doc_id", F.round("perplexity", 6).alias("perplexity"), "kept")
