@@ -131,3 +131,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"]
     )
     return judged.select("row.doc_id", F.round("perplexity", 6).alias("perplexity"), "kept")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
