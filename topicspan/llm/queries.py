@@ -138,3 +138,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
