@@ -145,3 +145,18 @@ def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicspan.llm.suffix_dedup import without_repeats
 
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.pii import with_surrogates
+
+    docs = table(spark, sf_dir, "documents")
+    done = with_surrogates(docs, [F.col("doc_id")], F.col("text"))
+    spans = F.transform("entities", lambda e: F.concat_ws(":", e.kind, e.start, e.end))
+    return done.select(
+        "doc_id",
+        F.size("entities").cast("long").alias("n_entities"),
+        F.array_join(spans, ",").alias("entities"),
+        F.col("__text").alias("text"),
+    )
