@@ -279,6 +279,24 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     )
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (a, b, alike) of ``pairs`` whose ends are in different components."""
+    one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return (
+        pairs.join(one, "a", "left")
+        .join(two, "b", "left")
+        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        .select("a", "b", "alike")
+    )
+
+
+def _best_of_each(pairs: DataFrame) -> DataFrame:
+    """For either end of the ``pairs`` (a, b, alike) the pair that is most alike."""
+    ends = pairs.withColumn("node", F.explode(F.array("a", "b")))
+    return ends.groupBy("node").agg(F.max(F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -302,35 +320,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     company = members.select("node").distinct()
     sets = stored(sets_of(docs, id_column, text, nodes.join(company, "node", "left_semi")), "sets")
 
-    # First every node against the hub of what neighbours suggest, then the best
-    # remaining neighbours between components, until none are left.
+    # First every node against the hub of what neighbours suggest; then, of the
+    # neighbours still in different components, the best of each node; then all of
+    # them; then whoever else shares a region.
     hubs = components(near)
     tried = stored(
         hubs.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), "tried"
     )
     roots = _joined(None, stored(confirmed(tried, sets), "confirmed"))
-    while True:
-        open_pairs = (
-            near.join(tried, ["a", "b"], "left_anti")
-            .join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-            .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-            .where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-            .select("a", "b", "alike")
-        )
-        # The best pair of either end.
-        ends = open_pairs.select(F.col("a").alias("node"), "alike", "a", "b").unionByName(
-            open_pairs.select(F.col("b").alias("node"), "alike", "a", "b")
-        )
-        best = ends.groupBy("node").agg(F.max(F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        best = stored(best, "best")
-        if best.isEmpty():
-            break
-        roots = _joined(roots, stored(confirmed(best, sets), "confirmed"))
-        tried = stored(tried.unionByName(best), "tried")
-    rest = across(members, nodes, roots).join(tried, ["a", "b"], "left_anti")
-    rest = stored(rest, "across")
-    if not rest.isEmpty():
-        roots = _joined(roots, stored(confirmed(rest, sets), "confirmed"))
+    best = stored(_best_of_each(_apart(near.join(tried, ["a", "b"], "left_anti"), roots)), "best")
+    roots = _joined(roots, stored(confirmed(best, sets), "confirmed"))
+    tried = tried.unionByName(best)
+    others = stored(_apart(near.join(tried, ["a", "b"], "left_anti"), roots).select("a", "b"), "others")
+    roots = _joined(roots, stored(confirmed(others, sets), "confirmed"))
+    rest = across(members, nodes, roots).join(tried.unionByName(others), ["a", "b"], "left_anti")
+    roots = _joined(roots, stored(confirmed(stored(rest, "across"), sets), "confirmed"))
 
     lowest = (
         usable.select("node", "doc_id")
