@@ -75,12 +75,12 @@ def shingle_set(text: str) -> np.ndarray:
 
 def signature(hashes: np.ndarray) -> bytes:
     """``SIZE`` MinHash values of 16 bits."""
-    out = np.empty(SIZE, dtype=">u2")
-    for i in range(SIZE):
-        low = (hashes * _FACTORS[i] + _TERMS[i]).min()
-        # The lowest value is near 0: hash it again, so that all 16 bits count.
-        out[i] = ((int(low) * 0xD6E8FEB86659FD93) >> 40) & 0xFFFF
-    return out.tobytes()
+    lowest = np.full(SIZE, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        some = hashes[None, at : at + 1024] * _FACTORS[:, None] + _TERMS[:, None]
+        np.minimum(lowest, some.min(axis=1), out=lowest)
+    # The lowest values are near 0: hash them again, so that all 16 bits count.
+    return ((lowest * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(">u2").tobytes()
 
 
 def signatures(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -175,11 +175,12 @@ def neighbours(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
-def across(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of a region in different components that may be similar.
+def across(members: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links between different components of a region, as many as join them.
 
     Nodes outside the region's largest component meet all nodes of the region,
-    in blocks of both; what meets is as much as could still be joined.
+    in blocks of both. Full sets travel with the blocks, so that only links leave
+    a task, never pairs that were merely compared.
     """
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, "rooted")
@@ -198,11 +199,12 @@ def across(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
         rooted.join(mixed, "region")
         .withColumn("out", F.col("root") != F.col("main"))
         .join(nodes.select("node", "sig", "n_shingles"), "node")
+        .join(sets, "node")
     )
     lots = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), lots("n_out")).cast("int")
     own_all = F.pmod(F.xxhash64("node"), lots("n_all")).cast("int")
-    columns = ["region", "node", "root", "sig", "n_shingles"]
+    columns = ["region", "node", "root", "sig", "n_shingles", "hashes"]
     left = sized.where("out").select(
         *columns, own.alias("i"), F.explode(F.sequence(F.lit(0), lots("n_all") - 1)).alias("j"), F.lit(True).alias("left")
     )
@@ -215,12 +217,21 @@ def across(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
         found = []
         if len(one) and len(two):
             sig = np.frombuffer(b"".join(two["sig"]), dtype=np.uint16).reshape(len(two), SIZE)
-            n, root, names = two["n_shingles"].to_numpy(), two["root"].to_numpy(), two["node"].to_numpy()
+            n, names, hashes = two["n_shingles"].to_numpy(), two["node"].to_numpy(), two["hashes"].to_numpy()
+            numbers = {r: i for i, r in enumerate(group["root"].unique())}
+            joined = np.arange(len(numbers))  # components of this block that links have joined
+            root = two["root"].map(numbers).to_numpy()
             for r in one.itertuples():
                 fit = 100 * np.minimum(n, r.n_shingles) >= SIMILAR * np.maximum(n, r.n_shingles)
                 near = _alike(sig, np.frombuffer(r.sig, dtype=np.uint16)) >= LEAST_ALIKE
-                for k in np.flatnonzero(fit & near & (root != r.root)):
-                    found.append((min(r.node, names[k]), max(r.node, names[k])))
+                own = numbers[r.root]
+                for k in np.flatnonzero(fit & near):
+                    if joined[own] == joined[root[k]]:
+                        continue
+                    both = len(np.intersect1d(r.hashes, hashes[k], assume_unique=True))
+                    if 100 * both >= SIMILAR * (len(r.hashes) + len(hashes[k]) - both):
+                        found.append((min(r.node, names[k]), max(r.node, names[k])))
+                        joined[joined == joined[root[k]]] = joined[own]
         return pd.DataFrame(found, columns=["a", "b"])
 
     blocks = left.unionByName(right)
@@ -330,11 +341,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     roots = _joined(None, stored(confirmed(tried, sets), "confirmed"))
     best = stored(_best_of_each(_apart(near.join(tried, ["a", "b"], "left_anti"), roots)), "best")
     roots = _joined(roots, stored(confirmed(best, sets), "confirmed"))
-    tried = tried.unionByName(best)
-    others = stored(_apart(near.join(tried, ["a", "b"], "left_anti"), roots).select("a", "b"), "others")
+    others = _apart(near.join(tried.unionByName(best), ["a", "b"], "left_anti"), roots)
     roots = _joined(roots, stored(confirmed(others, sets), "confirmed"))
-    rest = across(members, nodes, roots).join(tried.unionByName(others), ["a", "b"], "left_anti")
-    roots = _joined(roots, stored(confirmed(stored(rest, "across"), sets), "confirmed"))
+    roots = _joined(roots, stored(across(members, nodes, sets, roots), "across"))
 
     lowest = (
         usable.select("node", "doc_id")
