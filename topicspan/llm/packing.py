@@ -10,6 +10,7 @@ Pieces, range-sorted by length, then find their slot by their position.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 from itertools import chain
@@ -38,9 +39,13 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        # For words in which normaliser and splitter would find nothing to do.
+        self.plain = Tokenizer.from_file(tokenizer_file)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.seen: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -62,20 +67,29 @@ class WordEncoder:
         for w in words:
             core = w if b"<|" in w else w.lower()
             bare = core.rstrip(b".,")
-            if not (bare and bare.decode()[-1].isalpha()):
+            if not (bare and bare.decode()[-1].lower()[-1].isalpha()):
                 bare = core
             made.append((w, bare, core[len(bare) :]))
         parts = {p for _, bare, tail in made for p in (bare, tail) if p and p not in self.seen}
-        unknown = list(parts)
-        for at in range(0, len(unknown), 20_000):
-            some = unknown[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for word, e in zip(some, encoded, strict=True):
-                self.seen[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        plain, others = [], []
+        for word in parts:
+            (plain if _is_plain(word.decode()) else others).append(word)
+        for tokenizer, unknown in ((self.plain, plain), (self.tokenizer, others)):
+            for at in range(0, len(unknown), 20_000):
+                some = unknown[at : at + 20_000]
+                encoded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+                for word, e in zip(some, encoded, strict=True):
+                    ids = e.ids
+                    self.seen[word] = struct.pack(f"<{len(ids)}I", *ids)
         for w, bare, tail in made:
             self.seen[w] = self.seen[bare] + self.seen[tail] if tail else self.seen[bare]
 
 
+def _is_plain(word: str) -> bool:
+    """Latin letters in lower case and normal form only."""
+    return word.isalpha() and word == word.lower() and max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

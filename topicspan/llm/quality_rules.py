@@ -34,13 +34,13 @@ BITS = 6
 FENCE = 3
 # Measures per 10,000, and the least such distance that counts for each.
 RATES: dict[str, tuple[str, int]] = {
-    "symbol_rate": ("10000 * n_symbols div n_words", 1000),
-    "bang_rate": ("10000 * n_bangs div n_words", 1000),
-    "capital_rate": ("10000 * n_capitals div word_chars", 800),
-    "length_rate": ("10000 * word_chars div n_words", 10000),
-    "line_rate": ("10000 * n_dup_lines div n_words", 500),
-    "repeat_rate": ("10000 * n_repeat_words div n_words", 1000),
-    "stutter_rate": ("10000 * n_stutters div n_words", 500),
+    "symbol_rate": ("10000 * n_symbols div greatest(n_words, 1)", 1000),
+    "bang_rate": ("10000 * n_bangs div greatest(n_words, 1)", 1000),
+    "capital_rate": ("10000 * n_capitals div greatest(word_chars, 1)", 800),
+    "length_rate": ("10000 * word_chars div greatest(n_words, 1)", 10000),
+    "line_rate": ("10000 * n_dup_lines div greatest(n_words, 1)", 500),
+    "repeat_rate": ("10000 * n_repeat_words div greatest(n_words, 1)", 1000),
+    "stutter_rate": ("10000 * n_stutters div greatest(n_words, 1)", 500),
 }
 
 _MEASURES = [

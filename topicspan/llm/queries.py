@@ -34,6 +34,55 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+ORACLES["op1_source_mix"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
+  FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, 2 * source_size AS ceiling,
+         CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+  FROM s
+), f AS (
+  SELECT *, ceiling::DOUBLE / weight AS ratio,
+         coalesce(sum(ceiling) OVER before, 0)::BIGINT AS full_before,
+         coalesce(sum(weight) OVER before, 0)::BIGINT AS weight_before,
+         1.5::DOUBLE * (SELECT sum(source_size) FROM w)::DOUBLE AS handed,
+         (SELECT sum(weight) FROM w)::BIGINT AS weights
+  FROM w
+  WINDOW before AS (
+    ORDER BY ceiling::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+  )
+), l AS (
+  SELECT *, (handed - full_before) / (weights - weight_before) AS level FROM f
+), t AS (
+  SELECT source, source_size,
+         coalesce(least(ceiling::DOUBLE,
+                        (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, weight_before LIMIT 1) * weight),
+                  ceiling::DOUBLE) AS target
+  FROM l
+), b AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS budget,
+         CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs
+  FROM t
+), p AS (
+  SELECT *, coalesce(sum(size) OVER (
+           PARTITION BY source
+           ORDER BY md5('42:' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS done
+  FROM d
+)
+SELECT p.doc_id, p.size, b.source_size, b.target,
+       (b.epochs * p.size + greatest(0, least(b.budget - b.epochs * b.source_size - p.done, p.size)))::BIGINT AS taken,
+       p.source
+FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
+"""
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
