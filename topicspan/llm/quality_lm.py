@@ -190,10 +190,14 @@ def scored(docs: DataFrame, keep: Sequence[Column], text: Column, model: DataFra
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Texts of the documents that are labelled as good quality, each row once."""
+    """Texts of the documents that are labelled as good quality, each row once.
+
+    Both sides are sorted by id whatever their sizes, so that the plan is the same
+    for any number of labels.
+    """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
     chosen = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`").alias("text"))
-    return chosen.join(good, "__id", "left_semi").select("text")
+    return chosen.join(good.hint("merge"), "__id", "left_semi").select("text")
 
 
 def language_fences(rows: DataFrame) -> DataFrame:
