@@ -21,16 +21,13 @@ def done(spark, texts, **settings):
 
 
 def pairs(row, text):
-    out, shift = [], 0
-    new, at, old_at = row["__text"], 0, 0
+    """(kind, old, new) of every entity: what lies between has not changed."""
+    pattern, at = "", 0
     for e in row["entities"]:
-        at += e["start"] - old_at
-        gap_end = re.escape(text[e["end"] : e["end"] + 6])
-        size = re.search(gap_end, new[at:]).start() if gap_end else len(new) - at
-        out.append((e["kind"], text[e["start"] : e["end"]], new[at : at + size]))
-        at, old_at = at + size, e["end"]
-    del shift
-    return out
+        pattern += re.escape(text[at : e["start"]]) + "(.+?)"
+        at = e["end"]
+    new = re.fullmatch(pattern + re.escape(text[at:]), row["__text"], re.DOTALL)
+    return [(e["kind"], text[e["start"] : e["end"]], n) for e, n in zip(row["entities"], new.groups(), strict=True)]
 
 
 def luhn(digits):

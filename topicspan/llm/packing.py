@@ -9,9 +9,10 @@ Pieces, range-sorted by length, then find their slot by their position.
 
 from __future__ import annotations
 
-import struct
+import re
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from itertools import chain
 
@@ -50,7 +51,7 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.encode().split() for t in texts]  # at ASCII white space
+        cut = [_words(t.encode()) for t in texts]
         words = set(chain.from_iterable(cut))
         new = [w for w in words if w not in self.seen]
         if len(self.seen) + len(new) > REMEMBERED:
@@ -60,29 +61,31 @@ class WordEncoder:
         return [b"".join(map(look, words)) for words in cut]
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode new words. Case does not count, and neither does a full stop or a
-        comma behind a letter: the tokenizer lower-cases and cuts there anyway. So
-        most words are made from those that are known."""
-        made = []
-        for w in words:
-            core = w if b"<|" in w else w.lower()
-            bare = core.rstrip(b".,")
-            if not (bare and bare.decode()[-1].lower()[-1].isalpha()):
-                bare = core
-            made.append((w, bare, core[len(bare) :]))
-        parts = {p for _, bare, tail in made for p in (bare, tail) if p and p not in self.seen}
         plain, others = [], []
-        for word in parts:
-            (plain if _is_plain(word.decode()) else others).append(word)
+        for word in words:
+            text = word.decode()
+            (plain if _is_plain(text) else others).append((word, text))
         for tokenizer, unknown in ((self.plain, plain), (self.tokenizer, others)):
             for at in range(0, len(unknown), 20_000):
                 some = unknown[at : at + 20_000]
-                encoded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                for word, e in zip(some, encoded, strict=True):
-                    ids = e.ids
-                    self.seen[word] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, bare, tail in made:
-            self.seen[w] = self.seen[bare] + self.seen[tail] if tail else self.seen[bare]
+                encoded = tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+                for (word, _), e in zip(some, encoded, strict=True):
+                    self.seen[word] = array("I", e.ids).tobytes()
+
+
+_END_OF_WORD = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[\t-\r ]|\Z)")
+
+
+def _words(data: bytes) -> list[bytes]:
+    """Parts that are encoded by themselves: words, and stops and commas behind them.
+
+    The tokenizer lower-cases, and cuts between a letter or digit and what is
+    neither; doing so first leaves fewer different parts. Special tokens count
+    as written, so texts that may hold one keep their case.
+    """
+    if b"<|" not in data:
+        data = data.lower()
+    return _END_OF_WORD.sub(rb" \1", data).split()
 
 
 def _is_plain(word: str) -> bool:
