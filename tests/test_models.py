@@ -31,7 +31,7 @@ from topicspan.streaming import (
 )
 
 K = 4
-LDA = {"iterations": 5, "sample": 0.3}
+LDA = {"iterations": 5}
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def labelled(spark, sf_dir, corpus):
 
 @pytest.fixture(scope="module")
 def trained(labelled):
-    return supervise(labelled, epochs=20, epochs_per_step=10, vocabulary_size=2000)
+    return supervise(labelled, epochs=20, epochs_per_step=10)
 
 
 def test_flagship_query(spark):
@@ -118,7 +118,7 @@ def test_unknown_words_have_no_topic(found, spark, rows):
 
 
 def test_perplexity_sweep(corpus):
-    vectors = models.document_vectors(corpus, models.vector_pipeline(corpus, vocabulary_size=2000))
+    vectors = models.document_vectors(corpus, models.vector_pipeline(corpus))
     curve, fitted = models.perplexity_sweep(vectors, [2, 3], iterations=3)
     rows = curve.orderBy("topicCount").collect()
     assert [r["topicCount"] for r in rows] == [2, 3] == sorted(fitted)
@@ -224,14 +224,26 @@ def test_new_text_features_use_the_idf_of_the_union(spark):
 def test_label_bundle_round_trip(trained, spark, sf_dir, rows):
     path = scratch_path(spark, "test-labels")
     model = trained.model
-    save_label_bundle(path, model.pipeline(), model.document_frequencies(), {"classes": model.classes})
-    bundle = load_label_bundle(spark, path)
-    assert bundle.document_frequencies.count() == len(model.frequencies)
+    save_label_bundle(path, model)
+    with pytest.raises(Exception, match="exists"):
+        save_label_bundle(path, model)
+    save_label_bundle(path, model, mode="overwrite")
+    loaded = load_label_bundle(spark, path)
+    assert (loaded.classes, loaded.documents, loaded.frequencies) == (model.classes, model.documents, model.frequencies)
     texts = short_texts(spark, sf_dir)
-    assert bundle.metadata["classes"] == model.classes
-    before = classifier.class_scores(model.pipeline().transform(texts), model.classes)
-    after = classifier.class_scores(bundle.model.transform(texts), model.classes)
-    assert rows(before) == rows(after)
+    for score in (classifier.classify_with_tf_idf, classifier.classify_with_presence):
+        assert rows(score(loaded, texts)) == rows(score(model, texts))
+    assert rows(loaded.history) == rows(model.history)
+    # Training goes on from the loaded weights.
+    more = classifier.layer_sizes(len(loaded.frequencies), len(loaded.classes))
+    assert loaded.network.getLayers() == more == model.network.getLayers()
+    assert (loaded.network.weights.toArray() == model.network.weights.toArray()).all()
+
+
+def test_one_class_is_no_classifier(spark):
+    one = spark.createDataFrame([(str(i), f"word{i} more", "same") for i in range(9)], "docid string, text string, label string")
+    with pytest.raises(ValueError, match="two classes"):
+        classifier.train_labels(one)
 
 
 def arriving(spark, sf_dir):

@@ -298,15 +298,13 @@ def test_one_hot_keeps_all_classes_or_drops_the_first(spark, rows):
     ]
 
 
-def test_vocabulary_choice_is_exact_at_the_cut(spark, rows):
+def test_the_vocabulary_has_every_word_in_order(spark, rows):
     counts = spark.createDataFrame(
         [("1", "a", 5), ("2", "a", 1), ("1", "d", 2), ("1", "c", 2), ("2", "b", 2), ("2", "e", 1)],
         "docid string, word string, n long",
     )
-    for size, expected in ((1, "a"), (2, "ab"), (3, "abc"), (4, "abcd"), (5, "abcde"), (9, "abcde")):
-        found = rows(features.model_vocabulary(features.word_totals(counts), size), "word")
-        assert [w for (w,) in found] == list(expected)
-    assert rows(features.word_totals(counts, min_documents=2), "word", "df") == [("a", 2)]
+    assert features.fit_counter(counts).vocabulary == list("abcde")
+    assert rows(features.word_totals(counts), "word", "total", "df")[0] == ("a", 6, 2)
 
 
 def test_features_drop_incomplete_rows(spark, rows):

@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspan.operators.features import (
-    DEFAULT_VOCABULARY,
     fit_counter,
     has_words,
     idf_values,
@@ -48,6 +47,9 @@ from topicspan.session import checkpointed
 
 # Doubles in one dense block of stacked feature rows: 32 MB per task.
 _BLOCK_VALUES = 1 << 22
+# Most training rows that a network is fitted on: Spark's network stacks them to
+# dense blocks of rows times words. All rows are split, scored and evaluated.
+FIT_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -141,15 +143,21 @@ def train_network(
     vectors: DataFrame,
     layers: Sequence[int],
     epochs: int = 50,
-    epochs_per_step: int = 10,
+    epochs_per_step: int = 1,
     seed: int = 1234,
+    fit_rows: int = FIT_ROWS,
 ) -> tuple[MultilayerPerceptronClassificationModel, list[tuple[int, str, str, float]]]:
-    """Train in steps of a few epochs; score both sets in one pass after each.
+    """Train in steps of some epochs, one by default; score both sets after each.
 
     A step starts from the weights of the one before. L-BFGS begins anew with
-    it, so the curve is not that of one uninterrupted fit.
+    it and forgets the curvature it has seen, so steps of one epoch are steps of
+    steepest descent with line search; ask for longer steps where the history
+    of every epoch is not needed. The network is fitted on the ``fit_rows``
+    training rows with the lowest hash of their id, and scored on all.
     """
     train = split_part(vectors, "train")
+    drawn = train.select("docid").orderBy(F.md5(F.col("docid").cast("string")), "docid").limit(fit_rows)
+    train = train.join(drawn, "docid", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     scored_sets = {"train": "training", "validation": "validation"}
     model, history, done = None, [], 0
     while done < epochs:
@@ -163,6 +171,7 @@ def train_network(
         for row in scored.groupBy("split").agg(*loss_and_accuracy()).collect():
             name = scored_sets[row["split"]]
             history += [(done, name, m, row[m]) for m in ("loss", "accuracy")]
+    train.unpersist()
     return model, history
 
 
@@ -171,17 +180,18 @@ def train_labels(
     label: str = "label",
     fractions: Sequence[float] = DEFAULT_FRACTIONS,
     epochs: int = 50,
-    epochs_per_step: int = 10,
-    vocabulary_size: int = DEFAULT_VOCABULARY,
-    min_documents: int = 1,
+    epochs_per_step: int = 1,
+    fit_rows: int = FIT_ROWS,
     stop_words: Sequence[str] | None = None,
     seed: int = 1234,
 ) -> LabelModel:
     """Split, train and keep the history. ``labelled`` has docid, text, label."""
     listed = english_stop_words() if stop_words is None else tuple(stop_words)
     rows = labelled.select("docid", "text", F.col(label).alias("label")).na.drop("any")
-    counter = fit_counter(token_counts(rows, listed), vocabulary_size, min_documents)
+    counter = fit_counter(token_counts(rows, listed))
     indexer = label_indexer(rows)
+    if len(indexer.labels) < 2:
+        raise ValueError(f"a classifier needs two classes, found {list(indexer.labels)}")
     plain = PipelineModel([indexer, word_stage(), stop_word_stage(listed), counter])
     # Persisted before it is filtered: the filter must not run the stages again.
     read = (
@@ -207,6 +217,7 @@ def train_labels(
         epochs,
         epochs_per_step,
         seed,
+        fit_rows,
     )
     weighted.unpersist()
     read.unpersist()

@@ -12,17 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is frequent if it has more than this share of the rows.
+# A key is frequent if it has more than 1/1000 of the rows, or than a quarter of
+# what a task of the shuffle gets on average, whichever is less.
 HOT_PARTS = 1000
 
 
 def frequent_keys(weights: DataFrame, weight: str) -> DataFrame:
-    """The rows of ``weights`` (one per key) with more than 1/1000 of the total.
+    """The rows of ``weights`` (one per key) that alone would weigh on a task.
 
-    There are fewer than 1,000 of them, whatever the data.
+    There are fewer than 1,000 of them, or than four for each task of a shuffle,
+    whatever the data.
     """
+    tasks = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = weights.agg(F.sum(weight)).scalar()
-    return weights.where(F.col(weight) * HOT_PARTS > total)
+    return weights.where(F.col(weight) * max(HOT_PARTS, 4 * tasks) > total)
 
 
 def look_up(
@@ -35,7 +38,7 @@ def look_up(
 ) -> DataFrame:
     """Add ``columns`` of ``table``, which has one row per ``key``.
 
-    ``hot`` holds the table rows of frequent keys; being fewer than 1,000 they
+    ``hot`` holds the table rows of frequent keys; being few they
     are broadcast. Rows that found their values there go through the shuffle
     under a key made from ``spread_by``, and so to all tasks evenly. Should
     such a key exist in the table, the values already found still win.

@@ -6,6 +6,7 @@ Spark plans.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from topicspan.functions import WORD_PATTERN
@@ -167,8 +168,13 @@ SELECT l.docid, l.label, c.label AS class, CAST(l.label = c.label AS INTEGER) AS
 FROM labelled l, (SELECT DISTINCT label FROM labelled) c"""
 
 
+# Relations that several others read: each is to be computed once.
+_SHARED = re.compile(r"^(corpus|kept|counts|beta|top|posterior|grams) AS \(", re.MULTILINE)
+
+
 def _with(*parts: str, select: str) -> str:
-    return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select.strip()
+    relations = _SHARED.sub(r"\1 AS MATERIALIZED (", ",\n".join(p.strip() for p in parts))
+    return f"WITH {relations}\n{select.strip()}"
 
 
 def build(stop_words: Sequence[str]) -> dict[str, str]:
@@ -306,6 +312,18 @@ v AS (SELECT epoch, avg(loss) AS loss, avg(accuracy) AS accuracy FROM scored
 SELECT t.epoch, round(t.loss, 6) AS "trainLoss", round(t.accuracy, 6) AS "trainAccuracy",
        round(v.loss, 6) AS "valLoss", round(v.accuracy, 6) AS "valAccuracy"
 FROM t JOIN v ON v.epoch = t.epoch""",
+        "lda_vocabulary": _with(*base, select="""
+SELECT CAST(t.topic AS INTEGER) AS topic, (SELECT count(DISTINCT word) FROM kept) AS terms,
+       CAST(1.0 AS DOUBLE) AS mass
+FROM range(1, 6) t(topic)"""),
+        "lda_posterior_mass": _with(*base, select="""
+SELECT docid, CAST(5 AS BIGINT) AS topics, CAST(1.0 AS DOUBLE) AS mass
+FROM (SELECT DISTINCT docid FROM kept)"""),
+        "classifier_reloaded": """
+SELECT conv_id || '-' || turn AS docid, true AS tf_idf, true AS presence FROM conversations""",
+        "history_epochs": """
+SELECT CAST(e.epoch AS INTEGER) AS epoch, d.data, CAST(2 AS BIGINT) AS metrics
+FROM range(1, 21) e(epoch), (VALUES ('training'), ('validation')) d(data)""",
         "histogram": """
 WITH edge AS (
   SELECT min(p_retailprice) AS lo, (max(p_retailprice) - min(p_retailprice)) / 10 AS width FROM part),

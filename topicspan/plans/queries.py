@@ -15,6 +15,7 @@ from topicspan.operators import topics as models
 from topicspan.operators import weighting
 from topicspan.plans.curation import curate
 from topicspan.plans.discovery import discover
+from topicspan.plans.supervised import supervise
 from topicspan.plans.tables import (
     DIGITS,
     class_count,
@@ -71,8 +72,8 @@ def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "corpus-csv")
-    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
-    return define_corpus(read_corpus_csv(spark, path, ["doc_id", "text", "lang"]), "text", "lang", "doc_id")
+    write_csv(table(spark, sf_dir, "documents"), path)
+    return define_corpus(read_corpus_csv(spark, path, ["lang", "text", "doc_id"], multi_line=True), "text", "lang", "doc_id")
 
 
 @query
@@ -434,8 +435,9 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fitted models: rows only -----------------------------------------------
 
 _TOPICS = 5
-_LDA = {"iterations": 10, "sample": 0.2}
-_NETWORK = {"epochs": 20, "epochs_per_step": 10, "vocabulary_size": 5000}
+_LDA = {"iterations": 10}
+_NETWORK = {"epochs": 20, "epochs_per_step": 20}
+_HISTORY = {"epochs": 20, "epochs_per_step": 1}
 
 
 def _topic_model(spark: SparkSession, sf_dir: str):
@@ -452,6 +454,32 @@ def lda_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(documents(spark, sf_dir), _TOPICS, **_LDA).beta
 
 
+@query
+def lda_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each topic of a fitted model knows: all words of the corpus."""
+    beta = discover(documents(spark, sf_dir), _TOPICS, **_LDA).beta
+    return beta.groupBy("topic").agg(
+        F.count_distinct("term").alias("terms"), F.round(F.sum("beta"), 6).alias("mass")
+    )
+
+
+@query
+def lda_posterior_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics and total probability of each document with a word."""
+    model = _topic_model(spark, sf_dir)
+    scored = models.posterior(models.score_topics(model, documents(spark, sf_dir)))
+    return scored.groupBy("docid").agg(
+        F.count(F.lit(1)).alias("topics"), F.round(F.sum("probability"), 6).alias("mass")
+    )
+
+
+@query
+def history_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One history row per epoch and set, with both metrics."""
+    history = classifier.train_labels(_labelled(spark, sf_dir), **_HISTORY).history
+    return history.groupBy("epoch", "data").agg(F.count(F.lit(1)).alias("metrics"))
+
+
 @query
 def lda_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _topic_model(spark, sf_dir)
@@ -490,7 +518,8 @@ def classify_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def train_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier.history_by_epoch(_label_model(spark, sf_dir)[0].history)
+    model = classifier.train_labels(_labelled(spark, sf_dir), **_HISTORY)
+    return classifier.history_by_epoch(model.history)
 
 
 @query
@@ -527,14 +556,45 @@ def topic_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_scored(models.score_topics(bundle.model, bundle.corpus), labels)
 
 
+def _saved_and_loaded(spark: SparkSession, model: classifier.LabelModel) -> classifier.LabelModel:
+    path = scratch_path(spark, "label-bundle")
+    save_label_bundle(path, model)
+    return load_label_bundle(spark, path)
+
+
 @query
 def classifier_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loaded = _saved_and_loaded(spark, _label_model(spark, sf_dir)[0])
+    return classifier.class_scores(loaded.pipeline().transform(short_texts(spark, sf_dir)), loaded.classes)
+
+
+def _same_scores(one: DataFrame, two: DataFrame, name: str) -> DataFrame:
+    """(docid, name): do both give a text the same ranking and probabilities?"""
+    other = two.select("docid", "rank", F.col("tags").alias("__t"), F.col("probability").alias("__p"))
+    same = F.col("tags").eqNullSafe(F.col("__t")) & (F.abs(F.col("probability") - F.col("__p")) < 1e-9)
+    return (
+        one.join(other, ["docid", "rank"], "full")
+        .groupBy("docid")
+        .agg(F.every(F.coalesce(same, F.lit(False))).alias(name))
+    )
+
+
+@query
+def classifier_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a loaded classifier score each new text as the fitted one does?"""
     model, _ = _label_model(spark, sf_dir)
-    path = scratch_path(spark, "label-bundle")
-    save_label_bundle(path, model.pipeline(), model.document_frequencies(), {"documents": model.documents, "classes": model.classes})
-    bundle = load_label_bundle(spark, path)
-    scored = bundle.model.transform(short_texts(spark, sf_dir))
-    return classifier.class_scores(scored, bundle.metadata["classes"])
+    loaded, texts = _saved_and_loaded(spark, model), short_texts(spark, sf_dir)
+    weighed = [classifier.classify_with_tf_idf(m, texts) for m in (model, loaded)]
+    present = [classifier.classify_with_presence(m, texts) for m in (model, loaded)]
+    return _same_scores(*weighed, "tf_idf").join(_same_scores(*present, "presence"), "docid")
+
+
+@query
+def curated_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: topics, their labels, a classifier of these labels, its test documents."""
+    found = discover(documents(spark, sf_dir), _TOPICS, **_LDA)
+    curated = curate(found, numbered_labels(spark, _TOPICS))
+    return supervise(curated.clustered, **_NETWORK).predictions
 
 
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,4 @@
 from topicspan.sources.bundles import (
-    LabelBundle,
     TopicBundle,
     load_label_bundle,
     load_topic_bundle,
@@ -18,7 +17,6 @@ from topicspan.sources.corpus import (
 )
 
 __all__ = [
-    "LabelBundle",
     "TopicBundle",
     "column_names",
     "default_labels",

@@ -17,25 +17,23 @@ def read_corpus_csv(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header, every column a string.
+    """CSV with a header, every column a string; ``columns`` are chosen by name.
 
-    With ``columns`` nothing is read ahead; without, Spark reads the header.
-    ``multi_line=True`` is right for quoted texts with line breaks, at one
-    task per file. Set it to False for large files without such texts, which
-    are then split.
+    Files are split, so a text is one line. ``multi_line=True`` reads quoted
+    texts with line breaks, at one task per file. An empty field is null, a
+    quoted empty one an empty text.
     """
     reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
-        .option("enforceSchema", False)
+        .option("nullValue", "\0")  # what an empty field turns into before it is null
     )
-    if columns:
-        reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
-    return reader.csv(path)
+    rows = reader.csv(path)
+    return rows.select(*[F.col(f"`{c}`") for c in columns]) if columns else rows
 
 
 def column_names(df: DataFrame) -> list[str]:
@@ -90,7 +88,7 @@ def read_labels_csv(spark: SparkSession, path: str, topics: int) -> DataFrame:
 
     A table with another number of rows belongs to another model.
     """
-    raw = read_corpus_csv(spark, path)
+    raw = read_corpus_csv(spark, path, multi_line=True)  # one row per topic
     labels = raw.select(F.col("topic").cast("int").alias("topic"), "label", *[
         c for c in raw.columns if c not in ("topic", "label")
     ])
@@ -101,16 +99,15 @@ def read_labels_csv(spark: SparkSession, path: str, topics: int) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with header and quoted texts, one file per task."""
+    """CSV with header, one file per task; an empty text is quoted, null is not."""
     (
         df.write.mode(mode)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("quoteAll", True)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("emptyValue", "")
+        .option("emptyValue", '""')
         .csv(path)
     )
 
