@@ -98,3 +98,16 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = without_secrets(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    from topicspan.llm.secrets_sql import secrets_sql
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in enumerate([*TEXTS, None, ""])])
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, None, ""])), "doc_id long, text string")
+    ours = scan_secrets(docs, [F.col("doc_id")], F.col("text")).select("doc_id", described(F.col("spans")).alias("s"))
+    assert sorted(map(tuple, ours.collect())) == sorted((r[0], r[5]) for r in con.execute(secrets_sql()).fetchall())

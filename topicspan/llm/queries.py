@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspan.llm.common import short_batches, table, word_count
+from topicspan.llm.secrets_sql import secrets_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +128,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op9_secret_scan"] = secrets_sql()
+
+
 @query
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicspan.llm.topk import integers, top_k, usable
