@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspan.llm.common import short_batches, table, word_count
+from topicspan.llm.quality_sql import quality_sql
 from topicspan.llm.secrets_sql import secrets_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +129,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op6_quality_rules"] = quality_sql()
 ORACLES["op9_secret_scan"] = secrets_sql()
 
 
