@@ -30,7 +30,8 @@ PATTERNS: dict[str, str] = {
     "iban": "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "name": f"(?<!\\p{{L}})(?:{TITLES})\\.? \\p{{Lu}}\\p{{L}}+(?: \\p{{Lu}}\\p{{L}}+)?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# No entity begins behind a letter or digit, which most places are.
+ANY = "(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 # Syllables and endings of names, by script.
 NAMES: dict[str, tuple[str, tuple[str, ...], str, str]] = {
     "cyrillic": ("\\p{IsCyrillic}", ("ба", "ве", "ги", "до", "ку", "ли", "ма", "но", "ри", "се", "та", "ве"), "н", "на"),
@@ -57,7 +58,11 @@ def _spans(text: Column) -> Column:
             F.concat(acc.out, F.array(F.struct((acc.at + p.gap).alias("start"), p.value.alias("value")))).alias("out"),
         ),
     )
-    return F.when(text.rlike(ANY), walked.out).otherwise(F.array().cast(kind))
+    # Without a digit, an at sign or a title there is nothing to look for.
+    possible = text.rlike("[0-9@]")
+    for title in MALE + FEMALE:
+        possible = possible | text.contains(title)
+    return F.when(possible, walked.out).otherwise(F.array().cast(kind))
 
 
 def type_of(value: Column) -> Column:
