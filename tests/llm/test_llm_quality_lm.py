@@ -85,3 +85,17 @@ def test_edges(spark):
 def test_classes_fit_the_table():
     found = grams("".join(map(chr, range(0xD7FF))) + "😀")
     assert found.min() >= 0 and found.max() < LETTERS**quality_lm.ORDER
+
+
+def test_words_count_and_not_only_their_letters(spark):
+    """Shuffled words, and Greek in the place of other Greek, had the perplexity of good text."""
+    rng = np.random.default_rng(1)
+    phrases = [" ".join(f"{'αβγδεζηθικ'[rng.integers(10)]}{'λμνξοπρστυ'[rng.integers(10)]}{i}" for _ in range(6)) for i in "0123456789"]
+    good = [(i, " ".join(phrases[j] for j in rng.integers(0, 10, 20)), "el", "s", 1) for i in range(40)]
+    shuffled = [(100 + i, " ".join(rng.permutation(t.split())), "el", "s", 1) for i, t, *_ in good[:5]]
+    shifted = [(200 + i, "".join(chr(ord(c) + 7) if "α" <= c <= "υ" else c for c in t), "el", "s", 1) for i, t, *_ in good[:5]]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    out = classify(edge_docs(spark, good + shuffled + shifted), labels).select("row.doc_id", "perplexity").collect()
+    p = {r[0]: r[1] for r in out}
+    most = max(p[i] for i in range(40))
+    assert min(p[i] for i in p if i >= 100) > 1.3 * most

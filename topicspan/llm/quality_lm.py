@@ -1,28 +1,32 @@
 """Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
 
-The model predicts characters, mapped to a fixed alphabet of ``LETTERS`` classes,
-from the ``ORDER - 1`` before. Counts of all trusted texts are summed in Spark;
-discounts, back-off weights and probabilities of each order come from joins of
-count tables, split over the tasks by context. A table of one probability per
-n-gram has ``LETTERS ** ORDER`` entries at most, 21 MB, whatever the corpus; it
-is what tasks share when they score documents.
+The model predicts words from the word before. Its tables hold every pair and
+every word of the trusted texts, grow with them, and are joined with the pairs of
+the documents; see ``word_bits``. A word that no trusted text has is spelled by a
+model of characters: classes of them, from the ``ORDER - 1`` before, times the
+share of each character in its class. That model has ``LETTERS ** ORDER`` entries
+at most, 21 MB, and one per code point, whatever the corpus; tasks share it.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
+from pyspark.sql.types import DoubleType, StructField
 
-from topicspan.llm.common import stored, texts_of, with_columns_of
+from topicspan.llm.common import WORD, stored, texts_of, with_columns_of
+from topicspan.operators.lookup import frequent_keys, look_up
 
 LETTERS = 48
 ORDER = 4
+CODES = 0x110000  # code points of Unicode
 # Characters of prior weight: the perplexity of a short text leans to its language's median.
 PRIOR = 100
 # A text may lie so many distances above the median, where the distance is that
@@ -60,13 +64,18 @@ def _classes() -> np.ndarray:
 
 
 _CLASS: list[np.ndarray] = []
+_word = re.compile(WORD)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def grams(text: str) -> np.ndarray:
     """The n-gram that ends at each character of ``text``, as a number."""
     if not _CLASS:
         _CLASS.append(_classes())
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = _codes(text)
     kinds = np.zeros(len(codes) + ORDER - 1, dtype=np.int64)
     kinds[ORDER - 1 :] = np.where(codes < 1 << 16, _CLASS[0][np.minimum(codes, (1 << 16) - 1)], LETTERS - 1)
     out = np.zeros(len(codes), dtype=np.int64)
@@ -167,37 +176,167 @@ def bits_table(model: DataFrame) -> np.ndarray:
     return (-np.log2(np.maximum(p, 1e-12))).astype(np.float32)
 
 
-def scored(docs: DataFrame, keep: Sequence[Column], text: Column, model: DataFrame) -> DataFrame:
-    """``keep`` columns, n_symbols, and bits: the sum over the characters of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits_table(model))  # LETTERS ** ORDER floats
-    chosen = docs.select(*keep, text.alias("__text"))
+def letter_counts(texts: DataFrame, text: str) -> DataFrame:
+    """(letter, n): how often each code point occurs in ``texts``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CODES, dtype=np.int64)
+        for batch in batches:
+            for t in texts_of(batch, text):
+                found, n = np.unique(_codes(t), return_counts=True)
+                total[found] += n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["letter", "n"])
+
+    return texts.select(text).mapInArrow(count, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
+
+
+def letter_bits(counts: DataFrame) -> np.ndarray:
+    """-log2 of the probability of each code point within its class; unseen ones share one count."""
+    rows = counts.toPandas()  # at most one row per code point of Unicode
+    n = np.zeros(CODES)
+    n[rows["letter"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
+    kinds = np.full(CODES, LETTERS - 1)
+    kinds[: 1 << 16] = _classes()
+    sizes = np.bincount(kinds, minlength=LETTERS)
+    totals = np.bincount(kinds, weights=n, minlength=LETTERS)
+    return (-np.log2((n + 1 / sizes[kinds]) / (totals[kinds] + 1))).astype(np.float32)
+
+
+def spelled(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """``words`` with ``bits0``: what it takes to spell ``word`` by the characters of ``texts``."""
+    bits = bits_table(kneser_ney(stored(gram_counts(texts, "text"), "kn-counts")))
+    shared = words.sparkSession.sparkContext.broadcast((bits, letter_bits(letter_counts(texts, "text"))))
+    gap = " " * (ORDER - 1)
 
     def maker():
-        bits = shared.value
+        classes, letters = shared.value
+
+        def spell(batch: pa.RecordBatch) -> list:
+            found = batch.column("word").to_pylist()
+            # Each word behind spaces, and with the space that ends it.
+            line = gap + gap.join(found) + " "
+            at = _codes(line)
+            upto = np.concatenate(([0.0], np.cumsum(classes[grams(line)].astype(np.float64) + letters[at])))
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            starts = np.cumsum(sizes + len(gap)) - sizes
+            return [upto[starts + sizes + 1] - upto[starts]]
+
+        return spell
+
+    return with_columns_of(words, words.columns, [StructField("bits0", DoubleType())], maker)
+
+
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """(id, half, trusted, before, word, n): the different pairs of words of each text.
+
+    A text begins behind, and ends with, an empty word.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = zip(*[batch.column(c).to_pylist() for c in ("id", "half", "trusted")], strict=True)
+            out: list[tuple] = []
+            for mark, text in zip(marks, texts_of(batch, "text"), strict=True):
+                words = _word.findall(text)
+                pairs = Counter(zip(["", *words], [*words, ""], strict=True))
+                out.extend((*mark, v, w, n) for (v, w), n in pairs.items())
+                if len(out) > 20_000:
+                    yield from batches_of(out)
+                    out = []
+            yield from batches_of(out)
+
+    def batches_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 20_000):
+            columns = zip(*rows[at : at + 20_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    names = ["id", "half", "trusted", "before", "word", "n"]
+    types = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
+    schema = "id long, half int, trusted boolean, before string, word string, n long"
+    return docs.select("id", "half", "trusted", "text").mapInArrow(count, schema)
 
-        def score(batch: pa.RecordBatch) -> list:
-            n, total = [], []
-            for t in texts_of(batch, "__text"):
-                at = grams(t)
-                n.append(len(at))
-                total.append(float(bits[at].sum(dtype=np.float64)))
-            return [n, total]
 
-        return score
+def _key(*parts: str) -> Column:
+    """One string for a half and its words, which hold no spaces."""
+    return F.concat_ws(" ", *parts)
 
-    fields = [StructField("n_symbols", LongType()), StructField("bits", DoubleType())]
-    return with_columns_of(chosen, chosen.columns[:-1], fields, maker)
 
+def _discounted(counts: DataFrame) -> DataFrame:
+    d1, d2, d3 = discounts(counts)
+    return counts.withColumn("off", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Texts of the documents that are labelled as good quality, each row once.
+
+def word_bits(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, bits): the sum over the words of each text under a Kneser-Ney model of word pairs.
+
+    Trusted texts are dealt into halves by hash, and the model of one half scores
+    the texts of the other, trusted or not: no text, nor a copy of it, is known to
+    the model that scores it. Tables of pairs, contexts and words grow with the
+    text and are joined. A word that was never seen is spelled.
+    """
+    trained = pairs.where("trusted").select((1 - F.col("half")).alias("half"), "before", "word", "n")
+    counts = stored(trained.groupBy("half", "before", "word").agg(F.sum("n").alias("n")), "kn-pairs")
+    seen = _discounted(counts)
+    contexts = stored(
+        seen.groupBy("half", "before").agg(F.sum("n").alias("all"), F.sum("off").alias("off")), "kn-contexts"
+    )
+    words = stored(counts.groupBy("half", "word").agg(F.count(F.lit(1)).alias("n")), "kn-words")
+    known = _discounted(words)
+    totals = known.groupBy("half").agg(F.sum("n").alias("all"), F.sum("off").alias("off"))
+
+    used = stored(pairs.groupBy("half", "word").agg(F.count(F.lit(1)).alias("rows")), "kn-used")
+    bits0 = spelled(used, texts).join(known.select("half", "word", "n", "off"), ["half", "word"], "left")
+    of_word = bits0.join(F.broadcast(totals.select("half", "all", F.col("off").alias("freed"))), "half", "left").select(
+        _key("half", "word").alias("word_key"),
+        "rows",
+        _mixed(
+            F.coalesce((F.col("n") - F.col("off")) / F.col("all"), F.lit(0.0)),
+            F.coalesce(F.col("freed") / F.col("all"), F.lit(1.0)),
+            F.col("bits0"),
+        ).alias("bits1"),
+    )
+    of_context = contexts.select(_key("half", "before").alias("context_key"), (F.col("off") / F.col("all")).alias("rest"))
+    of_pair = seen.join(contexts.select("half", "before", "all"), ["half", "before"]).select(
+        _key("half", "before", "word").alias("pair_key"), ((F.col("n") - seen["off"]) / F.col("all")).alias("p2")
+    )
+    rows = pairs.select(
+        "id",
+        "n",
+        _key("half", "word").alias("word_key"),
+        _key("half", "before").alias("context_key"),
+        _key("half", "before", "word").alias("pair_key"),
+    )
+    for name, table, columns in (
+        ("word_key", of_word, ["bits1"]),
+        ("context_key", of_context, ["rest"]),
+        ("pair_key", of_pair, ["p2"]),
+    ):
+        table = stored(table, f"kn-{name}")
+        weights = table.select(name, "rows") if "rows" in table.columns else rows.groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
+        hot = frequent_keys(weights, "rows") if not weights.isEmpty() else weights
+        hot = hot.select(name).join(table, name)
+        rows = look_up(rows, table, hot, name, columns, "id").drop(name)
+    bits = _mixed(F.coalesce("p2", F.lit(0.0)), F.coalesce("rest", F.lit(1.0)), F.col("bits1"))
+    return rows.groupBy("id").agg(F.sum(F.col("n") * bits).alias("bits"))
+
+
+def _mixed(p: Column, rest: Column, below: Column) -> Column:
+    """Bits of ``p + rest * 2 ** -below``, where that may be too small for a double."""
+    far = below - F.log2(F.greatest(rest, F.lit(1e-9)))
+    return F.when(p > 0, -F.log2(p + F.pow(F.lit(2.0), -far))).otherwise(far)
+
+
+def with_trust(docs: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
+    """``docs`` with ``trusted``: is the document labelled as good quality?
 
     Both sides are sorted by id whatever their sizes, so that the plan is the same
-    for any number of labels.
+    for any number of labels. Rows without an id are spread.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
-    chosen = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`").alias("text"))
-    return chosen.join(good.hint("merge"), "__id", "left_semi").select("text")
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("__id")).distinct()
+    own = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("?"), F.xxhash64("text").cast("string")))
+    marked = docs.withColumn("__id", own).join(good.withColumn("__good", F.lit(True)).hint("merge"), "__id", "left")
+    return marked.withColumn("trusted", F.col("__good").isNotNull()).drop("__id", "__good")
 
 
 def language_fences(rows: DataFrame) -> DataFrame:
@@ -240,10 +379,25 @@ def classify(
     kept. A null language is one of its own. Without trusted texts every
     character is equally likely, and all texts with characters are kept.
     """
-    trusted = trusted_texts(docs, labels, id_column, text)
-    model = kneser_ney(stored(gram_counts(trusted, "text"), "kn-counts"))
     row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
-    rows = stored(scored(docs, [row, F.col(f"`{lang}`").alias("lang")], F.col(f"`{text}`"), model), "kn-bits")
+    chosen = docs.select(
+        row, F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{id_column}`").alias("doc")
+    )
+    base = stored(
+        with_trust(chosen, labels, "doc").select(
+            "row",
+            "lang",
+            "text",
+            "trusted",
+            F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"),
+            F.monotonically_increasing_id().alias("id"),
+            F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"),
+        ),
+        "kn-texts",
+    )
+    pairs = stored(word_pairs(base.where("n_symbols > 0")), "kn-text-pairs")
+    bits = stored(word_bits(pairs, base.where("trusted").select("text")), "kn-bits")
+    rows = stored(base.select("row", "lang", "id", "n_symbols", "trusted").join(bits, "id", "left"), "kn-scored")
     rate = F.floor(F.col("bits") * SCALE / F.col("n_symbols"))
     fences = stored(
         language_fences(rows.where("n_symbols > 0").select("lang", rate.alias("rate"))).withColumnRenamed(
