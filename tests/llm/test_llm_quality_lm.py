@@ -99,3 +99,14 @@ def test_words_count_and_not_only_their_letters(spark):
     p = {r[0]: r[1] for r in out}
     most = max(p[i] for i in range(40))
     assert min(p[i] for i in p if i >= 100) > 1.3 * most
+
+
+def test_repeated_words_go_and_toxic_texts_are_not_trusted(spark):
+    good = [(i, prose(i, 120), "en", "s", 1) for i in range(60)]
+    junk = [(100, "alpha1 " * 800, "en", "s", 1), (101, "\n".join([prose(5, 12)] * 60), "en", "s", 1)]
+    odd = [(200 + i, " ".join(f"zq{i}x{j}" for j in range(90)), "en", "s", 1) for i in range(30)]
+    labels = spark.createDataFrame(
+        [(i, 1, 0) for i in range(40)] + [(200 + i, 1, 1) for i in range(30)], "doc_id long, quality int, toxic int"
+    )
+    out = good_documents(edge_docs(spark, good + junk + odd), labels)
+    assert {r["doc_id"] for r in out.collect()} == set(range(60))

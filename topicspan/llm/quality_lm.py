@@ -30,10 +30,10 @@ CODES = 0x110000  # code points of Unicode
 # Characters of prior weight: the perplexity of a short text leans to its language's median.
 PRIOR = 100
 # A text may lie so many distances above the median, where the distance is that
-# from the lower quantile to the median of the same language, and no less than
-# ``LEAST`` bits a character.
-LOW_QUANTILE = 0.1
-FENCE = 4.0
+# from the median to the upper quantile of the trusted texts of the same language,
+# and no less than ``LEAST`` bits a character.
+HIGH_QUANTILE = 0.95
+FENCE = 2.0
 LEAST = 0.1
 SCALE = 1000  # quantiles are taken over thousandths of a bit
 
@@ -228,9 +228,9 @@ def spelled(words: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def word_pairs(docs: DataFrame) -> DataFrame:
-    """(id, half, trusted, before, word, n): the different pairs of words of each text.
+    """(id, half, trusted, before, word, n, n_pairs): the different pairs of words of each text.
 
-    A text begins behind, and ends with, an empty word.
+    ``n_pairs`` counts all pairs of the text. A text begins behind, and ends with, an empty word.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def word_pairs(docs: DataFrame) -> DataFrame:
             for mark, text in zip(marks, texts_of(batch, "text"), strict=True):
                 words = _word.findall(text)
                 pairs = Counter(zip(["", *words], [*words, ""], strict=True))
-                out.extend((*mark, v, w, n) for (v, w), n in pairs.items())
+                out.extend((*mark, v, w, n, len(words) + 1) for (v, w), n in pairs.items())
                 if len(out) > 20_000:
                     yield from batches_of(out)
                     out = []
@@ -251,9 +251,9 @@ def word_pairs(docs: DataFrame) -> DataFrame:
             columns = zip(*rows[at : at + 20_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    names = ["id", "half", "trusted", "before", "word", "n"]
-    types = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
-    schema = "id long, half int, trusted boolean, before string, word string, n long"
+    names = ["id", "half", "trusted", "before", "word", "n", "n_pairs"]
+    types = [pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    schema = "id long, half int, trusted boolean, before string, word string, n long, n_pairs long"
     return docs.select("id", "half", "trusted", "text").mapInArrow(count, schema)
 
 
@@ -268,12 +268,14 @@ def _discounted(counts: DataFrame) -> DataFrame:
 
 
 def word_bits(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, bits): the sum over the words of each text under a Kneser-Ney model of word pairs.
+    """(id, bits, surplus): sums over the words of each text under a Kneser-Ney model of word pairs.
 
     Trusted texts are dealt into halves by hash, and the model of one half scores
     the texts of the other, trusted or not: no text, nor a copy of it, is known to
     the model that scores it. Tables of pairs, contexts and words grow with the
-    text and are joined. A word that was never seen is spelled.
+    text and are joined. A word that was never seen is spelled. ``surplus`` are the
+    bits by which pairs repeat: ``n * log2(n / expected)`` for each pair that a text
+    has more often than the model expects in its length, and than once.
     """
     trained = pairs.where("trusted").select((1 - F.col("half")).alias("half"), "before", "word", "n")
     counts = stored(trained.groupBy("half", "before", "word").agg(F.sum("n").alias("n")), "kn-pairs")
@@ -296,20 +298,26 @@ def word_bits(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             F.col("bits0"),
         ).alias("bits1"),
     )
-    of_context = contexts.select(_key("half", "before").alias("context_key"), (F.col("off") / F.col("all")).alias("rest"))
+    sizes = contexts.groupBy("half").agg(F.sum("all").alias("size"))
+    of_context = contexts.join(F.broadcast(sizes), "half").select(
+        _key("half", "before").alias("context_key"),
+        (F.col("off") / F.col("all")).alias("rest"),
+        (F.col("all") / F.col("size")).alias("share"),
+    )
     of_pair = seen.join(contexts.select("half", "before", "all"), ["half", "before"]).select(
         _key("half", "before", "word").alias("pair_key"), ((F.col("n") - seen["off"]) / F.col("all")).alias("p2")
     )
     rows = pairs.select(
         "id",
         "n",
+        "n_pairs",
         _key("half", "word").alias("word_key"),
         _key("half", "before").alias("context_key"),
         _key("half", "before", "word").alias("pair_key"),
     )
     for name, table, columns in (
         ("word_key", of_word, ["bits1"]),
-        ("context_key", of_context, ["rest"]),
+        ("context_key", of_context, ["rest", "share"]),
         ("pair_key", of_pair, ["p2"]),
     ):
         table = stored(table, f"kn-{name}")
@@ -318,7 +326,12 @@ def word_bits(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         hot = hot.select(name).join(table, name)
         rows = look_up(rows, table, hot, name, columns, "id").drop(name)
     bits = _mixed(F.coalesce("p2", F.lit(0.0)), F.coalesce("rest", F.lit(1.0)), F.col("bits1"))
-    return rows.groupBy("id").agg(F.sum(F.col("n") * bits).alias("bits"))
+    rows = rows.withColumn("__bits", bits)
+    expected = F.col("n_pairs") * F.coalesce("share", F.lit(0.0)) * F.pow(F.lit(2.0), -F.col("__bits"))
+    more = F.log2(F.greatest(F.col("n") / F.greatest(expected, F.lit(1.0)), F.lit(1.0)))
+    return rows.groupBy("id").agg(
+        F.sum(F.col("n") * F.col("__bits")).alias("bits"), F.sum(F.col("n") * more).alias("surplus")
+    )
 
 
 def _mixed(p: Column, rest: Column, below: Column) -> Column:
@@ -328,38 +341,50 @@ def _mixed(p: Column, rest: Column, below: Column) -> Column:
 
 
 def with_trust(docs: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
-    """``docs`` with ``trusted``: is the document labelled as good quality?
+    """``docs`` with ``trusted``: is the document labelled as good quality, and not as toxic?
 
     Both sides are sorted by id whatever their sizes, so that the plan is the same
     for any number of labels. Rows without an id are spread.
     """
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("__id")).distinct()
+    fine = "quality = 1 AND doc_id IS NOT NULL"
+    if "toxic" in labels.columns:
+        fine += " AND coalesce(toxic, 0) <> 1"
+    good = labels.where(fine).select(F.col("doc_id").cast("string").alias("__id")).distinct()
     own = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("?"), F.xxhash64("text").cast("string")))
     marked = docs.withColumn("__id", own).join(good.withColumn("__good", F.lit(True)).hint("merge"), "__id", "left")
     return marked.withColumn("trusted", F.col("__good").isNotNull()).drop("__id", "__good")
 
 
-def language_fences(rows: DataFrame) -> DataFrame:
-    """(lang, typical, fence) in thousandths of a bit, from quantiles of each language.
+def language_fences(rows: DataFrame, rate: str) -> DataFrame:
+    """(lang, typical, fence) of ``rate``, in thousandths of a bit, from quantiles of each language.
 
-    ``rows`` has (lang, rate). The rates of a language take few values, so their
-    counts add up to exact quantiles.
+    ``rows`` has (lang, rate, n_symbols) of trusted texts. The rates of a language take few
+    values, so their counts add up to exact quantiles. The upper quantile is one
+    of rates that lean to the median, as the rates do that are judged.
     """
-    counts = rows.groupBy("lang", "rate").agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy("lang")
-    ranked = counts.withColumn("upto", F.sum("n").over(every.orderBy("rate"))).withColumn(
-        "all", F.sum("n").over(every)
+
+    def quantile(values: DataFrame, q: float, name: str) -> DataFrame:
+        counts = values.groupBy("lang", "value").agg(F.count(F.lit(1)).alias("n"))
+        every = Window.partitionBy("lang")
+        ranked = counts.withColumn("upto", F.sum("n").over(every.orderBy("value"))).withColumn(
+            "all", F.sum("n").over(every)
+        )
+        return ranked.groupBy("lang").agg(F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("value"))).alias(name))
+
+    typical = quantile(rows.select("lang", F.col(rate).alias("value")), 0.5, "typical")
+    known = rows.join(typical.withColumnRenamed("lang", "__l"), F.col("lang").eqNullSafe(F.col("__l")))
+    high = quantile(
+        known.select("lang", F.floor(leaning(F.col(rate))).alias("value")), HIGH_QUANTILE, "high"
+    ).withColumnRenamed("lang", "__l")
+    spread = F.greatest(F.col("high") - F.col("typical"), F.lit(int(LEAST * SCALE)))
+    return typical.join(high, F.col("lang").eqNullSafe(F.col("__l"))).select(
+        "lang", "typical", (F.col("typical") + F.ceil(FENCE * spread)).alias("fence")
     )
 
-    def quantile(q: float) -> Column:
-        return F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("rate")))
 
-    spread = F.greatest(F.col("typical") - F.col("low"), F.lit(int(LEAST * SCALE)))
-    return (
-        ranked.groupBy("lang")
-        .agg(quantile(0.5).alias("typical"), quantile(LOW_QUANTILE).alias("low"))
-        .select("lang", "typical", (F.col("typical") + F.ceil(FENCE * spread)).alias("fence"))
-    )
+def leaning(rate: Column) -> Column:
+    """A rate with ``PRIOR`` characters of ``typical`` added."""
+    return (rate * F.col("n_symbols") + PRIOR * F.col("typical")) / (F.col("n_symbols") + PRIOR)
 
 
 def classify(
@@ -373,11 +398,12 @@ def classify(
     """One row per row of ``docs``: perplexity, fence, kept, and ``row``, a struct of
     the columns to ``keep`` (all by default).
 
-    ``labels`` has (doc_id, quality); texts of quality 1 are trusted, and all of
-    them are counted. ``perplexity`` is per character, ``fence`` the highest that
-    the language of the row lets pass. Empty and null texts have none and are not
-    kept. A null language is one of its own. Without trusted texts every
-    character is equally likely, and all texts with characters are kept.
+    ``labels`` has (doc_id, quality) and may have toxic; texts of quality 1 that are
+    not toxic are trusted, and all of them are counted. ``perplexity`` is per
+    character, ``fence`` the highest that the trusted texts of the language let
+    pass; the surplus of repeated pairs has a fence of its own. Empty and null texts
+    have none and are not kept. A null language is one of its own. Without trusted
+    texts every character is equally likely, and all texts with characters are kept.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
     chosen = docs.select(
@@ -398,20 +424,29 @@ def classify(
     pairs = stored(word_pairs(base.where("n_symbols > 0")), "kn-text-pairs")
     bits = stored(word_bits(pairs, base.where("trusted").select("text")), "kn-bits")
     rows = stored(base.select("row", "lang", "id", "n_symbols", "trusted").join(bits, "id", "left"), "kn-scored")
-    rate = F.floor(F.col("bits") * SCALE / F.col("n_symbols"))
-    fences = stored(
-        language_fences(rows.where("n_symbols > 0").select("lang", rate.alias("rate"))).withColumnRenamed(
-            "lang", "__lang"
-        ),
-        "kn-fences",
-    )
-    leaning = (F.col("bits") * SCALE + PRIOR * F.col("typical")) / (F.col("n_symbols") + PRIOR)
     some = F.col("n_symbols") > 0
-    return rows.join(fences, F.col("lang").eqNullSafe(F.col("__lang")), "left").select(
+    rated = rows.select("*", *[F.floor(F.col(c) * SCALE / F.col("n_symbols")).alias(f"{c}_rate") for c in ("bits", "surplus")])
+    good = rated.where(F.col("trusted") & some)
+    # A language without trusted texts is judged as all trusted texts together.
+    judged = rated
+    for name in ("bits", "surplus"):
+        values = good.select("lang", "n_symbols", f"{name}_rate")
+        own = stored(language_fences(values, f"{name}_rate"), f"kn-{name}-fences")
+        every = language_fences(values.withColumn("lang", F.lit("")), f"{name}_rate").first()
+        typical, fence = (every["typical"], every["fence"]) if every else (None, None)
+        own = own.select(F.col("lang").alias("__lang"), F.col("typical").alias("__typical"), F.col("fence").alias("__fence"))
+        judged = (
+            judged.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+            .withColumn("typical", F.coalesce("__typical", F.lit(typical).cast("long")))
+            .withColumn(f"{name}_fence", F.coalesce("__fence", F.lit(fence).cast("long")))
+            .withColumn(f"{name}_fine", F.coalesce(leaning(F.col(f"{name}_rate")) <= F.col(f"{name}_fence"), F.lit(True)))
+            .drop("__lang", "__typical", "__fence", "typical")
+        )
+    return judged.select(
         "row",
         F.when(some, F.pow(F.lit(2.0), F.col("bits") / F.col("n_symbols"))).alias("perplexity"),
-        F.pow(F.lit(2.0), F.col("fence") / SCALE).alias("fence"),
-        F.coalesce(some & (leaning <= F.col("fence")), F.lit(False)).alias("kept"),
+        F.pow(F.lit(2.0), F.col("bits_fence") / SCALE).alias("fence"),
+        (some & F.col("bits_fine") & F.col("surplus_fine")).alias("kept"),
     )
 
 
