@@ -111,3 +111,11 @@ def test_sql_says_the_same(spark):
     docs = spark.createDataFrame(list(enumerate([*TEXTS, None, ""])), "doc_id long, text string")
     ours = scan_secrets(docs, [F.col("doc_id")], F.col("text")).select("doc_id", described(F.col("spans")).alias("s"))
     assert sorted(map(tuple, ours.collect())) == sorted((r[0], r[5]) for r in con.execute(secrets_sql()).fetchall())
+
+
+def test_short_values_behind_the_separator(spark):
+    texts = ["token=abc", "password=x1", "api_key=a", "token==ab", "token==abcde", "passwd:abcde secret=abcdef", "token = 'abc'"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan_secrets(docs, [F.col("doc_id")], F.col("text")).collect():
+        assert [tuple(s) for s in r["base"]] == base_by_hand(r["__text"]), r["__text"]
+    assert without_secrets(docs).where("doc_id < 4").select("text").collect() == [(t,) for t in texts[:4]]

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 ASSIGN = (
     "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
+# A match of it whose value, behind the separator, has six characters or more.
+LONG_ASSIGN = f"^{ASSIGN.removesuffix('+)')}{{6,}})$"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
@@ -170,7 +172,7 @@ def scan_secrets(docs: DataFrame, keep: Sequence[Column], text: Column) -> DataF
     t = F.col("__text")
     scanned = rows.select(
         *rows.columns,
-        found(t, ASSIGN, 0, "[A-Za-z0-9+/_.=-]{6}$").alias("__assign"),
+        found(t, ASSIGN, 0, LONG_ASSIGN).alias("__assign"),
         F.when(t.contains("AKIA"), found(t, ACCESS, 1))
         .otherwise(F.array().cast(SPAN))
         .alias("__access"),
