@@ -215,3 +215,36 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(spans, ",").alias("entities"),
         F.col("__text").alias("text"),
     )
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.line_dedup import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+ORACLES["op13_line_dedup"] = r"""
+WITH l AS MATERIALIZED (
+  SELECT d.rid, d.doc_id, u.line, u.i
+  FROM (SELECT *, row_number() OVER () AS rid FROM documents) d,
+       LATERAL (SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
+                       generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS i) u
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (
+  SELECT key, count(DISTINCT coalesce(doc_id, -9223372036854775808)) AS n_docs,
+         max(coalesce(doc_id, -9223372036854775808)) AS top_doc
+  FROM k WHERE length(key) >= 20 GROUP BY key
+), m AS (
+  SELECT k.rid, k.doc_id, k.i, k.line,
+         (c.key IS NOT NULL AND c.n_docs >= 3
+          AND coalesce(k.doc_id, -9223372036854775808) <> c.top_doc) AS gone
+  FROM k LEFT JOIN c ON k.key = c.key AND length(k.key) >= 20
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
+"""
