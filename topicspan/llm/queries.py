@@ -248,3 +248,10 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM m GROUP BY rid, doc_id
 """
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
