@@ -255,3 +255,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicspan.llm.spelling import spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicspan.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
