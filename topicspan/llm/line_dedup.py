@@ -147,18 +147,19 @@ def dedup_lines(
     fanout: int = FANOUT,
 ) -> DataFrame:
     """Per input row: doc_id, n_lines, n_dropped, kept_text, kept_sha256 and the
-    input row as struct ``row``.
+    input row but its text as struct ``row``.
 
     Batches are doc_id ranges, fed into the runs from the largest ids down; all
-    rows of a doc_id land in one batch.
+    rows of a doc_id land in one batch. Texts are read from the input for each
+    batch and once more at the end, never stored; only the line numbers to
+    drop travel, and the texts are shuffled once, to meet them.
     """
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("__doc"),
         F.col(text).alias("__text"),
     ).withColumn("__copy", F.xxhash64(F.coalesce(F.col("__text"), F.lit(""))))
-    rows = stored(rows, "line-docs")
-    bounds = batch_bounds(rows, batch_docs)
+    bounds = batch_bounds(rows.select("__doc"), batch_docs)
     edges = [None, *bounds, None]
     runs = LineRuns(fanout=fanout)
     for hi, lo in zip(reversed(edges[1:]), reversed(edges[:-1]), strict=True):
@@ -170,8 +171,7 @@ def dedup_lines(
         runs.add(numbered_lines(batch, min_key_chars))
     final = runs.compacted()
     dropping = final.where(F.col("n_docs") >= min_docs).select("hash", "top_doc")
-    texts = rows.select("__doc", "__copy", "__text").dropDuplicates(["__doc", "__copy"])
-    lines = numbered_lines(texts, min_key_chars, ["__copy"])
+    lines = numbered_lines(rows, min_key_chars, ["__copy"])
     dropped = (
         lines.join(dropping, "hash")
         .where(F.col("__doc") != F.col("top_doc"))
@@ -183,7 +183,7 @@ def dedup_lines(
     gone = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone, i)), "\n")
     return out.select(
-        F.col("row").getField(doc_id).cast("long").alias("doc_id"),
+        F.when(F.col("__doc") != F.lit(NO_DOC), F.col("__doc")).alias("doc_id"),
         F.size(parts).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),
