@@ -34,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicspan.llm.common import SPACES, stored
+from topicspan.llm.common import stored
 
 # Fixed values of the contract.
 MIN_KEY_CHARS = 20
@@ -45,12 +45,12 @@ FANOUT = 4
 NO_DOC = -(2**63)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
     """The line without spaces at both ends, A-Z lower-cased."""
-    trimmed = F.regexp_replace(line, f"^[{SPACES}]+|[{SPACES}]+$", "")
-    return F.translate(trimmed, UPPER, LOWER)
+    return F.translate(F.btrim(line, F.lit(SPACE_CHARS)), UPPER, LOWER)
 
 
 def split_lines(text: Column) -> Column:
@@ -150,30 +150,31 @@ def dedup_lines(
     input row but its text as struct ``row``.
 
     Batches are doc_id ranges, fed into the runs from the largest ids down; all
-    rows of a doc_id land in one batch. Texts are read from the input for each
-    batch and once more at the end, never stored; only the line numbers to
-    drop travel, and the texts are shuffled once, to meet them.
+    rows of a doc_id land in one batch. Texts are read twice, never stored:
+    once to hash their lines, which are stored, and once at the end; only the
+    line numbers to drop travel, and the texts are shuffled once, to meet them.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("__doc"),
         F.col(text).alias("__text"),
     ).withColumn("__copy", F.xxhash64(F.coalesce(F.col("__text"), F.lit(""))))
+    # Lines are split and hashed once; batches and the end read them back.
+    numbered = stored(numbered_lines(rows, min_key_chars, ["__copy"]), "line-hashes")
     bounds = batch_bounds(rows.select("__doc"), batch_docs)
     edges = [None, *bounds, None]
     runs = LineRuns(fanout=fanout)
     for hi, lo in zip(reversed(edges[1:]), reversed(edges[:-1]), strict=True):
-        batch = rows
+        batch = numbered.select("__doc", "line_no", "hash")
         if lo is not None:
             batch = batch.where(F.col("__doc") >= F.lit(lo))
         if hi is not None:
             batch = batch.where(F.col("__doc") < F.lit(hi))
-        runs.add(numbered_lines(batch, min_key_chars))
+        runs.add(batch)
     final = runs.compacted()
     dropping = final.where(F.col("n_docs") >= min_docs).select("hash", "top_doc")
-    lines = numbered_lines(rows, min_key_chars, ["__copy"])
     dropped = (
-        lines.join(dropping, "hash")
+        numbered.join(dropping, "hash")
         .where(F.col("__doc") != F.col("top_doc"))
         .groupBy("__doc", "__copy")
         .agg(F.collect_set("line_no").alias("__gone"))
