@@ -10,8 +10,9 @@ width, so a word of length L is done after about log2(L) joins. A state with
 one edit walks on only by exact characters, so it ends on a terminal node
 exactly when the word it spells is in the vocabulary: one equality join of
 the spelled words with the vocabulary finds these terminal states, which are
-the neighbours. Nodes are 64-bit hashes, which may only add a dead state;
-the terminal join compares whole words, so results are exact.
+the neighbours. Nodes and spelled words travel as 64-bit hashes, which may
+only add a dead state or a false match; every match is confirmed on whole
+words, so results are exact.
 
 Defined results:
 
@@ -76,7 +77,8 @@ def trie_edges(words: DataFrame) -> DataFrame:
 
 
 def frontier_round(words: DataFrame, edges: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Words spelled by the states with one edit made at levels lo <= d < hi."""
+    """(src, spelled): hashes of a word and of a word its one-edit states at
+    levels lo <= d < hi spell; only the hashes leave the task."""
     states = words.where(F.length("word") >= lo).select(
         "word", F.explode(F.sequence(F.lit(lo), F.least(F.lit(hi - 1), F.length("word")))).alias("depth")
     )
@@ -85,19 +87,25 @@ def frontier_round(words: DataFrame, edges: DataFrame, lo: int, hi: int) -> Data
     own = F.substring(F.col("word"), F.col("depth") + 1, 1)
     # substring(w, p) with p past the end is empty, which is what a tail needs.
     tail_from = lambda k: F.expr(f"substring(word, depth + {k})")
+    src = F.xxhash64("word").alias("src")
     stepped = states.join(edges.where((F.col("depth") >= lo) & (F.col("depth") < hi)), ["depth", "node"])
     replaced = stepped.where((F.col("depth") < F.length("word")) & (F.col("ch") != own)).select(
-        "word", F.concat(head, F.col("ch"), tail_from(2)).alias("near")
+        src, F.xxhash64(F.concat(head, F.col("ch"), tail_from(2))).alias("spelled")
     )
-    inserted = stepped.select("word", F.concat(head, F.col("ch"), tail_from(1)).alias("near"))
+    inserted = stepped.select(src, F.xxhash64(F.concat(head, F.col("ch"), tail_from(1))).alias("spelled"))
     deleted = states.where(F.col("depth") < F.length("word")).select(
-        "word", F.concat(head, tail_from(2)).alias("near")
+        src, F.xxhash64(F.concat(head, tail_from(2))).alias("spelled")
     )
     return replaced.unionByName(inserted).unionByName(deleted)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, near, near_n): distinct pairs one edit apart."""
+    """(word, near, near_n): distinct pairs one edit apart.
+
+    The spelled words meet the vocabulary by 64-bit hash; every pair found is
+    then confirmed on the whole words (Levenshtein distance 1), so a hash
+    collision can add no pair, and none is lost, as equal words hash equal.
+    """
     edges = stored(trie_edges(words), "trie-edges")
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
     spelled = None
@@ -106,10 +114,18 @@ def near_pairs(words: DataFrame) -> DataFrame:
         part = frontier_round(words, edges, lo, lo + width)
         spelled = part if spelled is None else spelled.unionByName(part)
         lo, width = lo + width, width * 2
+    hashed = words.select(F.xxhash64("word").alias("h"), "word", "n")
     if spelled is None:
         return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
-    terminal = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return spelled.distinct().join(terminal, "near").select("word", "near", "near_n")
+    terminal = hashed.select(F.col("h").alias("spelled"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    found = spelled.join(terminal, "spelled").select("src", "near", "near_n").distinct()
+    sources = hashed.select(F.col("h").alias("src"), "word")
+    return (
+        found.join(sources, "src")
+        .where(F.levenshtein("word", "near") == 1)
+        .select("word", "near", "near_n")
+        .distinct()
+    )
 
 
 def spelling_variants(
