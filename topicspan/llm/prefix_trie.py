@@ -37,9 +37,10 @@ from topicspan.llm.common import stored
 FAMILY = 100
 KEEP_OF = 6
 # Width of the first column block; each later one is twice as wide, up to
-# MAX_WIDTH, as grouping_id has 64 bits for the columns of one ROLLUP.
+# MAX_WIDTH: a ROLLUP of W columns repeats each row W + 2 times, and its plan
+# (and the driver's memory for it) grows with W squared.
 FIRST_WIDTH = 8
-MAX_WIDTH = 60
+MAX_WIDTH = 16
 
 
 def block_starts(longest: int, first: int = FIRST_WIDTH) -> list[tuple[int, int]]:
@@ -218,7 +219,9 @@ def prefix_trie(convs: DataFrame, first_width: int = FIRST_WIDTH) -> DataFrame:
             sums += [f"sl{j}", f"ss{j}"]
         summed = rollup_nodes(rows, b, start, width, sums)
         pick = lambda p: F.element_at(F.array(*[F.col(f"{p}{j}") for j in range(width + 1)]), F.col("level") + 1)
-        totals.append(summed.select("key", pick("sl").alias("n_leaves"), pick("ss").alias("saved_tokens")))
+        totals.append(
+            stored(summed.select("key", pick("sl").alias("n_leaves"), pick("ss").alias("saved_tokens")), "trie-sums")
+        )
     result = linked.join(_union(totals), "key")
     return result.select(
         "conv_id",
