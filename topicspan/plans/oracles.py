@@ -318,6 +318,13 @@ SELECT CAST(t.topic AS INTEGER) AS topic, (SELECT count(DISTINCT word) FROM kept
 FROM range(1, 6) t(topic)"""),
         "lda_posterior_mass": _with(*base, select="""
 SELECT docid, CAST(5 AS BIGINT) AS topics, CAST(1.0 AS DOUBLE) AS mass
+FROM (SELECT DISTINCT docid FROM kept)"""),
+        "topic_table_vocabulary": _with(*base, select="""
+SELECT CAST(t.topic AS INTEGER) AS topic, (SELECT count(DISTINCT word) FROM kept) AS terms,
+       CAST(1.0 AS DOUBLE) AS mass
+FROM range(1, 6) t(topic)"""),
+        "topic_table_posterior_mass": _with(*base, select="""
+SELECT docid, CAST(5 AS BIGINT) AS topics, CAST(1.0 AS DOUBLE) AS mass
 FROM (SELECT DISTINCT docid FROM kept)"""),
         "classifier_reloaded": """
 SELECT conv_id || '-' || turn AS docid, true AS tf_idf, true AS presence FROM conversations""",

@@ -622,3 +622,45 @@ def stream_label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream_labels(model.binary_pipeline(), _arriving(spark, sf_dir)), f"{path}/rows", f"{path}/progress"
     )
     return spark.read.parquet(f"{path}/rows")
+
+
+# --- the topic model as tables: no vocabulary on the driver -----------------
+
+
+def _topic_table(spark: SparkSession, sf_dir: str):
+    from topicspan.operators import topic_tables
+
+    counts = tokens.token_counts(documents(spark, sf_dir))
+    return topic_tables.fit_topic_table(counts, _TOPICS, **_LDA), counts
+
+
+@query
+def topic_table_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each topic of the table model weighs every word of the corpus, and sums to 1."""
+    from topicspan.operators import topic_tables
+
+    beta = topic_tables.beta_table(_topic_table(spark, sf_dir)[0])
+    return beta.groupBy("topic").agg(
+        F.count_distinct("term").alias("terms"), F.round(F.sum("beta"), 6).alias("mass")
+    )
+
+
+@query
+def topic_table_posterior_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics and total probability of each document with a word, inferred by join."""
+    from topicspan.operators import topic_tables
+
+    model, counts = _topic_table(spark, sf_dir)
+    return topic_tables.posterior_table(model, counts).groupBy("docid").agg(
+        F.count(F.lit(1)).alias("topics"), F.round(F.sum("probability"), 6).alias("mass")
+    )
+
+
+@query
+def topic_table_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log perplexity of the table model on its corpus: the bound as aggregates."""
+    from topicspan.operators import topic_tables
+
+    model, counts = _topic_table(spark, sf_dir)
+    value = topic_tables.log_perplexity(model, counts)
+    return spark.createDataFrame([(_TOPICS, value)], "topicCount int, logPerplexity double")
