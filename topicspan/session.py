@@ -26,12 +26,19 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "topicsp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: as the cluster names it in
-    ``spark.checkpoint.dir``, else one beside the tables of the warehouse."""
+    """The folder every executor can reach, as the cluster names it in
+    ``spark.checkpoint.dir``.
+
+    Only a local session, whose driver and executors share one machine, may
+    go without: it writes beside the tables of its warehouse. On a cluster a
+    missing setting is an error, never a folder that only one machine sees.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster must name its shared folder in spark.checkpoint.dir")
+    return spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
