@@ -82,4 +82,4 @@ def test_edges(spark):
 def test_blocks_cover_every_depth():
     starts = block_starts(400)
     assert starts[0] == (0, 8) and starts[-1][0] + starts[-1][1] >= 400
-    assert all(w <= 16 for _, w in starts)
+    assert all(w <= 32 for _, w in starts)

@@ -40,7 +40,7 @@ KEEP_OF = 6
 # MAX_WIDTH: a ROLLUP of W columns repeats each row W + 2 times, and its plan
 # (and the driver's memory for it) grows with W squared.
 FIRST_WIDTH = 8
-MAX_WIDTH = 16
+MAX_WIDTH = 32
 
 
 def block_starts(longest: int, first: int = FIRST_WIDTH) -> list[tuple[int, int]]:
@@ -205,17 +205,29 @@ def prefix_trie(convs: DataFrame, first_width: int = FIRST_WIDTH) -> DataFrame:
     owned = linked.groupBy("conv_id").agg(
         F.collect_list(F.struct("depth", (F.col("n_children") == 0).cast("long").alias("leaf"), "saved")).alias("owned")
     )
-    with_owned = paths.join(owned, "conv_id", "left").withColumn(
-        "owned", F.coalesce("owned", F.array().cast(owned.schema["owned"].dataType))
+    owned_of = F.coalesce("owned", F.array().cast(owned.schema["owned"].dataType))
+    depths = F.sequence(F.lit(0), F.col("n_turns"))
+    suffix = lambda field: F.transform(
+        depths,
+        lambda d: F.aggregate(
+            F.filter(owned_of, lambda o: o.depth >= d), F.lit(0).cast("long"), lambda a, o: a + o[field]
+        ),
+    )
+    # Per conversation, from each depth on: owned leaves and saved tokens.
+    with_owned = stored(
+        paths.join(owned, "conv_id", "left").select(
+            "conv_id", "n_turns", "keys", "lens", suffix("leaf").alias("leaf_from"), suffix("saved").alias("saved_from")
+        ),
+        "trie-owned",
     )
     totals = []
     for b, (start, width) in enumerate(blocks):
         rows = block_rows(with_owned, entries[b], b, start)
         sums = []
         for j in range(width + 1):
-            below = F.filter("owned", _from_depth(start + j))
-            rows = rows.withColumn(f"sl{j}", F.aggregate(below, F.lit(0).cast("long"), lambda a, o: a + o.leaf))
-            rows = rows.withColumn(f"ss{j}", F.aggregate(below, F.lit(0).cast("long"), lambda a, o: a + o.saved))
+            at = F.lit(start + j + 1)
+            rows = rows.withColumn(f"sl{j}", F.coalesce(F.try_element_at("leaf_from", at), F.lit(0).cast("long")))
+            rows = rows.withColumn(f"ss{j}", F.coalesce(F.try_element_at("saved_from", at), F.lit(0).cast("long")))
             sums += [f"sl{j}", f"ss{j}"]
         summed = rollup_nodes(rows, b, start, width, sums)
         pick = lambda p: F.element_at(F.array(*[F.col(f"{p}{j}") for j in range(width + 1)]), F.col("level") + 1)
@@ -235,10 +247,6 @@ def prefix_trie(convs: DataFrame, first_width: int = FIRST_WIDTH) -> DataFrame:
     )
 
 
-def _from_depth(depth: int):
-    return lambda o: o.depth >= depth
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
