@@ -40,8 +40,12 @@ def test_all_are_registered():
 
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    labels = {r["doc_id"]: r["quality"] for r in table(spark, sf_dir, "labels").collect()}
-    good_id = min(i for i, quality in labels.items() if quality == 1)
+    rows = table(spark, sf_dir, "labels").collect()
+    labels = {r["doc_id"]: r["quality"] for r in rows}
+    # Trusted: good quality and not toxic. Toxic documents are to be caught,
+    # whatever their quality label says.
+    trusted = {r["doc_id"] for r in rows if r["quality"] == 1 and r["toxic"] == 0}
+    good_id = min(trusted)
     like = docs.where(F.col("doc_id") == good_id).first().asDict()
     words = like["text"].split()
     random.Random(1).shuffle(words)
@@ -56,7 +60,7 @@ def test_pipeline_stages(spark, sf_dir):
     ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for d in seen]
     assert ids[0] >= ids[1] >= ids[2] == ids[3] >= ids[4]
     lost = ids[0] - ids[1]
-    assert lost and all(labels.get(i) != 1 for i in lost)
+    assert lost and not lost & trusted
     classes = REGISTRY["op8_near_duplicates"](spark, sf_dir).collect()
     assert single.count() == len(ids[2]) < good.count()
     assert {r["doc_id"] for r in classes if r["kept"]} & ids[1] <= ids[2]
