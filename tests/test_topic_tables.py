@@ -97,3 +97,15 @@ def test_empty_tokens(spark):
     tokens = spark.createDataFrame([], "docid string, word string, n long")
     model = tt.fit_topic_table(tokens, topics=2, iterations=1)
     assert model.lam.count() == 0 and tt.posterior_table(model, tokens).count() == 0
+
+
+def test_several_topic_counts_in_one_pass_equal_single_fits(spark):
+    docs = corpus(9, 30)
+    tokens = token_frame(spark, docs)
+    many = tt.fit_topic_tables(tokens, [2, 3], iterations=2, seed=4)
+    for k in (2, 3):
+        one = tt.fit_topic_table(tokens, topics=k, iterations=2, seed=4)
+        a = {r.word: np.array(r.lam) for r in many[k].lam.collect()}
+        b = {r.word: np.array(r.lam) for r in one.lam.collect()}
+        assert a.keys() == b.keys()
+        assert max(np.max(np.abs(a[w] - b[w])) for w in a) < 1e-12

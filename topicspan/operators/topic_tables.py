@@ -118,10 +118,14 @@ def _store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _start(topics: int, seed: int):
+    u = lambda i: (F.abs(F.xxhash64("word", F.lit(i), F.lit(seed))) % 1_000_000) / 1_000_000.0
+    return F.array(*[1.0 + 0.1 * u(i) for i in range(topics)])
+
+
 def initial_weights(tokens: DataFrame, topics: int, seed: int = SEED) -> DataFrame:
     words = tokens.where(F.col("n") > 0).select("word").distinct()
-    u = lambda i: (F.abs(F.xxhash64("word", F.lit(i), F.lit(seed))) % 1_000_000) / 1_000_000.0
-    return words.select("word", F.array(*[1.0 + 0.1 * u(i) for i in range(topics)]).alias("lam"))
+    return words.select("word", _start(topics, seed).alias("lam"))
 
 
 def topic_sums(lam: DataFrame, topics: int) -> np.ndarray:
@@ -300,3 +304,98 @@ def log_perplexity(model: TopicTable, tokens: DataFrame) -> float:
         return float("nan")
     return -(docs["b"] + topics_bound(model)) / docs["n"]
 
+
+def fit_topic_tables(
+    tokens: DataFrame, topic_counts: list[int], iterations: int = 20, seed: int = SEED
+) -> dict[int, TopicTable]:
+    """One model per topic count, all from one join of the documents' words per
+    iteration: the weights of every model are columns of one table, and each
+    task runs every model's fixed point on the documents it holds. Scans do not
+    grow with the number of models; each equals ``fit_topic_table`` with
+    alpha = eta = 1/k.
+    """
+    ks = list(dict.fromkeys(topic_counts))
+    tokens = _store(tokens.select("docid", "word", F.col("n").cast("long").alias("n")), "topic-tokens")
+    words = tokens.where(F.col("n") > 0).select("word").distinct()
+    lam = _store(words.select("word", *[_start(k, seed).alias(f"m{j}") for j, k in enumerate(ks)]), "topic-lams")
+    for t in range(1, iterations + 1):
+        elog = _store(_log_betas(lam, ks), "topic-elogs")
+        docs = (
+            tokens.where(F.col("n") > 0)
+            .join(elog, "word")
+            .groupBy("docid")
+            .agg(
+                F.sort_array(
+                    F.collect_list(
+                        F.struct("word", F.col("n").cast("double").alias("n"), *[f"e{j}" for j in range(len(ks))])
+                    )
+                ).alias("w")
+            )
+        )
+        stats = _statistics(docs, ks)
+        rho = math.pow(TAU0 + t, -KAPPA)
+        joined = lam.join(stats, "word", "left").join(elog, "word")
+        steps = [F.transform(f"m{j}", _online_step(j, rho, 1.0 / k)).alias(f"m{j}") for j, k in enumerate(ks)]
+        lam = _store(joined.select("word", *steps), "topic-lams")
+    return {
+        k: TopicTable(lam.select("word", F.col(f"m{j}").alias("lam")), k, 1.0 / k, 1.0 / k, iterations)
+        for j, k in enumerate(ks)
+    }
+
+
+def _online_step(j: int, rho: float, eta: float):
+    return lambda x, i: (1.0 - rho) * x + rho * (
+        eta + F.coalesce(F.col(f"s{j}")[i], F.lit(0.0)) * F.exp(F.col(f"e{j}")[i])
+    )
+
+
+def _log_betas(lam: DataFrame, ks: list[int]) -> DataFrame:
+    sums = lam.agg(*[F.sum(F.col(f"m{j}")[i]).alias(f"s{j}_{i}") for j, k in enumerate(ks) for i in range(k)]).first()
+    psi = [digamma(np.array([sums[f"s{j}_{i}"] or 0.0 for i in range(k)])) for j, k in enumerate(ks)]
+    fields = [StructField("word", StringType()), *[StructField(f"e{j}", ArrayType(DoubleType())) for j in range(len(ks))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            cols = [b.column("word")]
+            for j, k in enumerate(ks):
+                w = np.array(b.column(f"m{j}").to_pylist(), dtype="float64").reshape(b.num_rows, k)
+                cols.append(pa.array(list(digamma(w) - psi[j][None, :])))
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+
+    return lam.mapInArrow(run, StructType(fields))
+
+
+def _statistics(docs: DataFrame, ks: list[int]) -> DataFrame:
+    fields = [StructField("word", StringType()), *[StructField(f"s{j}", ArrayType(DoubleType())) for j in range(len(ks))]]
+    alphas = [np.full(k, 1.0 / k) for k in ks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[str, list[np.ndarray]] = {}
+        for b in batches:
+            rows = b.column("w")
+            for i in range(b.num_rows):
+                entries = rows[i].as_py()
+                cts = np.array([e["n"] for e in entries], dtype="float64")
+                shares = []
+                for j, k in enumerate(ks):
+                    eb = np.exp(np.array([e[f"e{j}"] for e in entries], dtype="float64").reshape(len(entries), k))
+                    shares.append(document_step(eb, cts, alphas[j])[1])
+                for n, e in enumerate(entries):
+                    got = acc.get(e["word"])
+                    if got is None:
+                        acc[e["word"]] = [sh[n].copy() for sh in shares]
+                    else:
+                        for j, sh in enumerate(shares):
+                            got[j] += sh[n]
+        if acc:
+            cols = [pa.array(list(acc))]
+            for j in range(len(ks)):
+                cols.append(pa.array([v[j].tolist() for v in acc.values()]))
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+
+    parts = docs.mapInArrow(run, StructType(fields))
+    return parts.groupBy("word").agg(
+        *[F.array(*[F.sum(F.col(f"s{j}")[i]) for i in range(k)]).alias(f"s{j}") for j, k in enumerate(ks)]
+    )
