@@ -5,7 +5,8 @@ being the hash of a prefix. A search state is (word, position, node, edits).
 A word's states without edits walk its own prefixes; at every level the
 frontier of those states is joined with the edges leaving its node, which
 gives the states with one edit: a replaced or inserted character where an
-edge leads on, or a deleted one. The levels are taken in rounds of doubling
+edge leads on and the next character of the word leaves the node it leads
+to (the edges carry those characters), or a deleted one. The levels are taken in rounds of doubling
 width, so a word of length L is done after about log2(L) joins. A state with
 one edit walks on only by exact characters, so it ends on a terminal node
 exactly when the word it spells is in the vocabulary: one equality join of
@@ -67,13 +68,20 @@ def prefix_node(word: Column, length: Column) -> Column:
 
 
 def trie_edges(words: DataFrame) -> DataFrame:
-    """(depth, node, ch): the edges of the trie of all words."""
+    """(depth, node, ch, next_chars, terminal): the edges of the trie of all
+    words, each with the characters that leave the node it leads to, and
+    whether a word ends there: the frontier looks one level ahead."""
     at = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("depth"))
-    return at.select(
+    rows = at.select(
         "depth",
         prefix_node(F.col("word"), F.col("depth")).alias("node"),
         F.substring(F.col("word"), F.col("depth") + 1, 1).alias("ch"),
-    ).distinct()
+        F.substring(F.col("word"), F.col("depth") + 2, 1).alias("after"),
+    )
+    return rows.groupBy("depth", "node", "ch").agg(
+        F.array_join(F.collect_set("after"), "").alias("next_chars"),
+        F.max(F.col("after") == "").alias("terminal"),
+    )
 
 
 def frontier_round(words: DataFrame, edges: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -89,10 +97,17 @@ def frontier_round(words: DataFrame, edges: DataFrame, lo: int, hi: int) -> Data
     tail_from = lambda k: F.expr(f"substring(word, depth + {k})")
     src = F.xxhash64("word").alias("src")
     stepped = states.join(edges.where((F.col("depth") >= lo) & (F.col("depth") < hi)), ["depth", "node"])
-    replaced = stepped.where((F.col("depth") < F.length("word")) & (F.col("ch") != own)).select(
+    # One level ahead: the character the word goes on with must leave the
+    # node the edit led to, or, at the word's end, a word must end there.
+    goes_on = lambda k: F.when(
+        F.col("depth") + k > F.length("word"), F.col("terminal")
+    ).otherwise(F.expr(f"instr(next_chars, substring(word, depth + {k}, 1)) > 0"))
+    replaced = stepped.where((F.col("depth") < F.length("word")) & (F.col("ch") != own) & goes_on(2)).select(
         src, F.xxhash64(F.concat(head, F.col("ch"), tail_from(2))).alias("spelled")
     )
-    inserted = stepped.select(src, F.xxhash64(F.concat(head, F.col("ch"), tail_from(1))).alias("spelled"))
+    inserted = stepped.where(goes_on(1)).select(
+        src, F.xxhash64(F.concat(head, F.col("ch"), tail_from(1))).alias("spelled")
+    )
     deleted = states.where(F.col("depth") < F.length("word")).select(
         src, F.xxhash64(F.concat(head, tail_from(2))).alias("spelled")
     )
