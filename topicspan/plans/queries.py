@@ -664,3 +664,14 @@ def topic_table_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = _topic_table(spark, sf_dir)
     value = topic_tables.log_perplexity(model, counts)
     return spark.createDataFrame([(_TOPICS, value)], "topicCount int, logPerplexity double")
+
+
+@query
+def topic_table_perplexity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log perplexity for 2, 4 and 6 topics, all fitted from one join per iteration."""
+    from topicspan.operators import topic_tables
+
+    counts = tokens.token_counts(documents(spark, sf_dir))
+    fitted = topic_tables.fit_topic_tables(counts, [2, 4, 6], **_LDA)
+    rows = [(k, topic_tables.log_perplexity(m, counts)) for k, m in fitted.items()]
+    return spark.createDataFrame(rows, "topicCount int, logPerplexity double")
