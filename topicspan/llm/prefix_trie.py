@@ -223,12 +223,15 @@ def prefix_trie(convs: DataFrame, first_width: int = FIRST_WIDTH) -> DataFrame:
     totals = []
     for b, (start, width) in enumerate(blocks):
         rows = block_rows(with_owned, entries[b], b, start)
-        sums = []
-        for j in range(width + 1):
-            at = F.lit(start + j + 1)
-            rows = rows.withColumn(f"sl{j}", F.coalesce(F.try_element_at("leaf_from", at), F.lit(0).cast("long")))
-            rows = rows.withColumn(f"ss{j}", F.coalesce(F.try_element_at("saved_from", at), F.lit(0).cast("long")))
-            sums += [f"sl{j}", f"ss{j}"]
+        zero = F.lit(0).cast("long")
+        at = lambda j: F.lit(start + j + 1)
+        picked = [
+            F.coalesce(F.try_element_at(column, at(j)), zero).alias(f"{name}{j}")
+            for j in range(width + 1)
+            for name, column in (("sl", "leaf_from"), ("ss", "saved_from"))
+        ]
+        rows = rows.select("*", *picked)
+        sums = [f"{name}{j}" for j in range(width + 1) for name in ("sl", "ss")]
         summed = rollup_nodes(rows, b, start, width, sums)
         pick = lambda p: F.element_at(F.array(*[F.col(f"{p}{j}") for j in range(width + 1)]), F.col("level") + 1)
         totals.append(
