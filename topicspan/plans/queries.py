@@ -675,3 +675,22 @@ def topic_table_perplexity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = topic_tables.fit_topic_tables(counts, [2, 4, 6], **_LDA)
     rows = [(k, topic_tables.log_perplexity(m, counts)) for k, m in fitted.items()]
     return spark.createDataFrame(rows, "topicCount int, logPerplexity double")
+
+
+@query
+def stream_versioned_topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving turns scored under the topic bundle version current at each batch."""
+    from topicspan.streaming.scoring import run_versioned
+
+    corpus = documents(spark, sf_dir)
+    model = _topic_model(spark, sf_dir)
+    path = scratch_path(spark, "versioned-stream")
+    empty = corpus.limit(0)
+    save_topic_bundle(f"{path}/bundle", model, empty, empty, empty, {"numTopics": _TOPICS})
+    labels = numbered_labels(spark, _TOPICS)
+
+    def score(found, batch):
+        return stream_topics(found.model, batch, labels)
+
+    run_versioned(_arriving(spark, sf_dir), f"{path}/bundle", load_topic_bundle, score, f"{path}/rows", f"{path}/progress")
+    return spark.read.parquet(f"{path}/rows").drop("batch")
