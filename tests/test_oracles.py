@@ -44,7 +44,7 @@ label_suggestions label_suggestions_bigrams doc_topic_argmax doc_topics_ranked c
 cluster_sizes cluster_filter cluster_export related_docs default_label_table label_override
 label_table_roundtrip feature_rows stratified_split class_shares one_hot_labels treatment_contrasts
 binary_features test_predictions_join evaluate_predictions history_by_epoch histogram lda_vocabulary
-lda_posterior_mass history_epochs classifier_reloaded
+lda_posterior_mass history_epochs classifier_reloaded topic_table_vocabulary topic_table_posterior_mass
 """.split()
 
 
