@@ -35,7 +35,7 @@ def test_equals_sql(spark, duck, sf_dir, name):
 def test_all_are_registered():
     names = set(contract.queries())
     assert {n for n in REGISTRY} <= names
-    assert {int(n[2:].split("_")[0]) for n in REGISTRY if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in REGISTRY if n.startswith("op")} == set(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf_dir):
