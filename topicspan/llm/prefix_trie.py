@@ -40,7 +40,7 @@ KEEP_OF = 6
 # MAX_WIDTH: a ROLLUP of W columns repeats each row W + 2 times, and its plan
 # (and the driver's memory for it) grows with W squared.
 FIRST_WIDTH = 8
-MAX_WIDTH = 32
+MAX_WIDTH = 60
 
 
 def block_starts(longest: int, first: int = FIRST_WIDTH) -> list[tuple[int, int]]:
