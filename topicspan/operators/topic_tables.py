@@ -48,7 +48,13 @@ GAMMA_TOL, GAMMA_ITERS = 1e-3, 100
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """psi(x) for x > 0: recurrence up to 10, then the asymptotic series."""
+    """psi(x) for x > 0: recurrence up to 10, then the asymptotic series.
+    At 0 (the topic sums of an empty model) it is -inf, without a warning."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _digamma(x)
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
     x = np.array(x, dtype="float64", copy=True)
     shift = np.zeros_like(x)
     for _ in range(10):
