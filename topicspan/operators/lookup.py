@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1000
 
 
-def frequent_keys(weights: DataFrame, weight: str) -> DataFrame:
+# Where rows can be read twice, keys with more than 1/200,000 of them do not enter
+# a shuffle: fewer than 200,000 keys, whatever the data, and most rows of a text.
+COMMON_PARTS = 200_000
+
+
+def frequent_keys(weights: DataFrame, weight: str, parts: int = HOT_PARTS) -> DataFrame:
     """The rows of ``weights`` (one per key) that alone would weigh on a task.
 
-    There are fewer than 1,000 of them, or than four for each task of a shuffle,
+    There are fewer than ``parts`` of them, or than four for each task of a shuffle,
     whatever the data.
     """
     tasks = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = weights.agg(F.sum(weight)).scalar()
-    return weights.where(F.col(weight) * max(HOT_PARTS, 4 * tasks) > total)
+    return weights.where(F.col(weight) * max(parts, 4 * tasks) > total)
 
 
 def look_up(
@@ -54,3 +59,18 @@ def look_up(
         .withColumn("__found", F.coalesce("__hot", "__cold"))
         .select(*rows.columns, *[F.col(f"__found.{c}").alias(c) for c in columns])
     )
+
+
+def look_up_apart(
+    rows: DataFrame, table: DataFrame, common: DataFrame, key: str, columns: Sequence[str]
+) -> DataFrame:
+    """:func:`look_up` for stored ``rows``, which are read twice here.
+
+    ``common`` holds the table rows of keys that most rows have. Rows that find
+    theirs there stay where they are; only the others are shuffled.
+    """
+    few = common.select(key, *columns)
+    found = rows.join(F.broadcast(few), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    both = found.unionByName(rest.join(table.select(key, *columns), key, "left"))
+    return both.select(*rows.columns, *columns)

@@ -6,13 +6,16 @@ from collections.abc import Sequence
 from functools import cache
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicspan.functions import ngram_array, word_array
 from topicspan.operators.lookup import frequent_keys, look_up
 from topicspan.session import sized
 
+# Text of one task of ``document_counts``, in bytes: a few million counted words.
+TASK_BYTES = 32 << 20
+
 
 @cache
 def english_stop_words() -> tuple[str, ...]:
@@ -51,6 +54,50 @@ def token_counts(
     )
 
 
+def document_counts(corpus: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """(docid, word, n, total): :func:`token_counts` and the words of the whole document.
+
+    Texts are shuffled in place of the words they are made of, and to tasks of
+    bounded size: each counts its documents without a further exchange. Ids that
+    very many rows share, null too, are counted word by word instead. ``corpus``
+    is read three times: its ids, the sizes of its texts, its texts.
+    """
+    listed = english_stop_words() if stop_words is None else tuple(stop_words)
+    texts = corpus.select("docid", "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = texts.groupBy("docid").agg(F.count(F.lit(1)).alias("__rows"))
+    shared = sized(frequent_keys(ids, "__rows").where("__rows > 1").select(F.col("docid").alias("__id")))
+    some = not shared.isEmpty()
+    own = texts.join(F.broadcast(shared), _same_id(), "left_anti") if some else texts
+    read = own.repartition(max(tasks, -(-size // TASK_BYTES)), "docid").select(
+        "docid", _without(word_array("text"), listed).alias("__words")
+    )
+    length = F.coalesce(F.size("__words"), F.lit(0)).cast("long")
+    counts = (
+        read.withColumn("total", F.sum(length).over(Window.partitionBy("docid")))
+        .select("docid", "total", F.explode("__words").alias("word"))
+        .groupBy("docid", "word", "total")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("docid", "word", "n", "total")
+    )
+    if not some:
+        return counts
+    copied = token_counts(texts.join(F.broadcast(shared), _same_id(), "left_semi"), listed)
+    totals = copied.groupBy(F.col("docid").alias("__id")).agg(F.sum("n").alias("total"))
+    return counts.unionByName(
+        copied.join(F.broadcast(totals), _same_id()).select("docid", "word", "n", "total")
+    )
+
+
+def _same_id() -> Column:
+    return F.col("docid").eqNullSafe(F.col("__id"))
+
+
+def _without(words: Column, listed: Sequence[str]) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*listed)) if listed else words
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """The distinct words of a token table."""
     return tokens.select("word").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicspan.operators.ids import largest_id, with_row_ids
-from topicspan.operators.lookup import frequent_keys, look_up
+from topicspan.operators.lookup import COMMON_PARTS, frequent_keys, look_up, look_up_apart
 from topicspan.operators.tokens import known_words_only, token_counts
 
 TF_IDF_COLUMNS = ("docid", "word", "n", "tf", "idf", "tf_idf")
@@ -44,8 +44,13 @@ def tf_idf(counts: DataFrame) -> DataFrame:
     a window would pull all rows of a frequent word into one task, whereas an
     aggregate combines before the shuffle. The joins take frequent words, and
     very long documents, out of the shuffle key.
+
+    Counts that have ``total``, as :func:`tokens.document_counts` gives them, are
+    stored: they are read twice, and only rows of rarer words are shuffled.
     """
     counts = _shared(counts)
+    if "total" in counts.columns:
+        return _tf_idf_stored(counts)
     totals = document_totals(counts)
     frequencies = document_frequencies(counts)
     documents = totals.agg(F.count_if(F.col("total") > 0)).scalar()
@@ -58,6 +63,13 @@ def tf_idf(counts: DataFrame) -> DataFrame:
     return _weighted(with_both, documents, F.col("df"))
 
 
+def _tf_idf_stored(counts: DataFrame) -> DataFrame:
+    frequencies = document_frequencies(counts)
+    common = frequent_keys(frequencies, "df", COMMON_PARTS)
+    documents = document_totals(counts).agg(F.count_if(F.col("total") > 0)).scalar()
+    return _weighted(look_up_apart(counts, frequencies, common, "word", ["df"]), documents, F.col("df"))
+
+
 def _weighted(rows: DataFrame, documents: Column, df: Column) -> DataFrame:
     return (
         rows.select("docid", "word", "n", F.col("n") / F.col("total"), F.log(documents / df))
@@ -111,8 +123,14 @@ def select_new(rows: DataFrame, numbered: DataFrame) -> DataFrame:
 def extended_tf_idf(counts: DataFrame, new_counts: DataFrame) -> DataFrame:
     """TF-IDF over the corpus and the new texts together.
 
-    The corpus is not tokenised again; its counts are reused.
+    The corpus is not tokenised again; its counts are reused. Where they have
+    ``total``, no document may be in both tables.
     """
+    if "total" in counts.columns and "total" not in new_counts.columns:
+        totals = document_totals(new_counts)
+        new_counts = look_up(
+            new_counts, totals, frequent_keys(totals, "words"), "docid", ["total"], spread_by="word"
+        )
     return tf_idf(counts.unionByName(new_counts))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +29,7 @@ from topicspan.plans.tables import (
     DIGITS,
     class_count,
     documents,
+    language_posterior,
     language_topics,
     new_texts,
     short_texts,
@@ -38,7 +38,7 @@ from topicspan.plans.tables import (
     table,
     with_topic,
 )
-from topicspan.session import scratch_path
+from topicspan.session import scratch_path, stored
 from topicspan.sources import (
     default_labels,
     define_corpus,
@@ -105,7 +105,7 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def frequent_tokens_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.token_counts(documents(spark, sf_dir))
+    counts = tokens.document_counts(documents(spark, sf_dir)).drop("total")
     return counts.orderBy(F.desc("n"), "docid", "word").limit(20)
 
 
@@ -124,18 +124,17 @@ def ngrams_per_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.token_counts(documents(spark, sf_dir))
-    return rounded(weighting.tf_idf(counts), "tf", "idf", "tf_idf")
+    return rounded(weighting.tf_idf(_stored_counts(documents(spark, sf_dir))), "tf", "idf", "tf_idf")
 
 
 @query
 def top_tf_idf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = documents(spark, sf_dir)
-    weights = rounded(weighting.tf_idf(tokens.token_counts(corpus)), "tf_idf")
+    weights = rounded(weighting.tf_idf(_stored_counts(corpus)), "tf_idf")
     by_class = weights.join(corpus.select("docid", "appTag"), "docid").select(
         "appTag", "docid", "word", "tf_idf"
     )
-    return ranking.top_n(by_class.persist(), ["appTag"], "tf_idf", 10)
+    return ranking.top_n(stored(by_class, "class-weights"), ["appTag"], "tf_idf", 10)
 
 
 @query
@@ -145,8 +144,8 @@ def corpus_with_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_counts(corpus: DataFrame) -> DataFrame:
-    """The token table; a user has it saved with the model."""
-    return tokens.token_counts(corpus).persist(StorageLevel.MEMORY_AND_DISK)
+    """The token table with document totals; a user has it saved with the model."""
+    return stored(tokens.document_counts(corpus), "token-counts")
 
 
 @query
@@ -260,22 +259,19 @@ def label_suggestions_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    corpus, counts, beta, k = language_topics(spark, sf_dir)
-    posterior = stand_in_posterior(counts, beta, k)
+    corpus, _, _, k, posterior = language_posterior(spark, sf_dir)
     labels = numbered_labels(spark, k)
     return clusters.cluster_documents(corpus, posterior, labels), labels, posterior
 
 
 @query
 def doc_topic_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts, beta, k = language_topics(spark, sf_dir)
-    return ranking.top_topic(stand_in_posterior(counts, beta, k))
+    return ranking.top_topic(language_posterior(spark, sf_dir)[4])
 
 
 @query
 def doc_topics_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts, beta, k = language_topics(spark, sf_dir)
-    return ranking.topics_ranked(stand_in_posterior(counts, beta, k))
+    return ranking.topics_ranked(language_posterior(spark, sf_dir)[4])
 
 
 @query
@@ -302,12 +298,10 @@ def cluster_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def related_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, counts, beta, k = language_topics(spark, sf_dir)
-    clustered = clusters.cluster_documents(
-        corpus, stand_in_posterior(counts, beta, k), numbered_labels(spark, k)
-    )
+    corpus, counts, beta, k, posterior = language_posterior(spark, sf_dir)
+    clustered = clusters.cluster_documents(corpus, posterior, numbered_labels(spark, k))
     known = tokens.vocabulary(counts)
-    arrived = weighting.new_text_counts(new_texts(spark, sf_dir, corpus), known)
+    arrived = stored(weighting.new_text_counts(new_texts(spark, sf_dir, corpus), known), "arrived-counts")
     predicted = ranking.top_topic(stand_in_posterior(arrived, beta, k))
     return clusters.related_documents(clustered, predicted).select("topic", "label", "docid", "probability")
 
@@ -358,7 +352,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = weighting.tf_idf(tokens.token_counts(documents(spark, sf_dir)))
+    weights = weighting.tf_idf(_stored_counts(documents(spark, sf_dir)))
     return rounded(features.labelled_features(weights, _quality_labels(spark, sf_dir)), "tf_idf")
 
 
@@ -397,9 +391,9 @@ def binary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stand_in_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Languages predicted for every document, and the corpus."""
-    corpus, counts, beta, k = language_topics(spark, sf_dir)
+    corpus, _, _, _, posterior = language_posterior(spark, sf_dir)
     names = corpus.select("topic", F.col("appTag").alias("predictTag")).distinct()
-    best = ranking.top_topic(stand_in_posterior(counts, beta, k)).join(names, "topic")
+    best = ranking.top_topic(posterior).join(names, "topic")
     predictions = best.join(corpus.select("docid", F.col("appTag").alias("label")), "docid")
     return predictions.select("docid", "label", "predictTag", "probability"), corpus
 
@@ -413,8 +407,7 @@ def test_predictions_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evaluate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, counts, beta, k = language_topics(spark, sf_dir)
-    posterior = stand_in_posterior(counts, beta, k)
+    corpus, _, _, _, posterior = language_posterior(spark, sf_dir)
     names = corpus.select("topic", F.col("appTag").alias("predictTag")).distinct()
     own = corpus.select("docid", "topic", F.col("appTag").alias("label")).join(posterior, ["docid", "topic"])
     best = ranking.top_topic(posterior).select("docid", "topic").join(names, "topic")

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspan.functions import softmax
-from topicspan.operators.lookup import frequent_keys, look_up
-from topicspan.operators.tokens import token_counts, without_stop_words, words
+from topicspan.operators.lookup import COMMON_PARTS, frequent_keys, look_up_apart
+from topicspan.operators.tokens import document_counts, token_counts, without_stop_words, words
 from topicspan.operators.weighting import document_frequencies, number_new_texts
-from topicspan.session import sized, spread
+from topicspan.session import sized, spread, stored
 from topicspan.sources.corpus import define_corpus
 
 DIGITS = 6
@@ -80,16 +80,18 @@ def stand_in_beta(topical: DataFrame, topics: int) -> DataFrame:
 def stand_in_posterior(counts: DataFrame, beta: DataFrame, topics: int) -> DataFrame:
     """(docid, topic, probability): softmax over topics of sum n * ln(beta).
 
-    Beta is joined as one array per word, so a token row meets one row.
+    Beta is joined as one row per word, so a token row meets one row. ``counts``
+    are stored, and read twice: the rows of common words are added up for each
+    document before any shuffle.
     """
     wide = beta.groupBy("term").agg(
         *[F.max(F.when(F.col("topic") == t, F.log("beta"))).alias(f"b{t}") for t in range(1, topics + 1)]
     )
     wide = wide.withColumnRenamed("term", "word")
-    frequent = F.broadcast(frequent_keys(document_frequencies(counts), "df").select("word"))
+    common = frequent_keys(document_frequencies(counts), "df", COMMON_PARTS).select("word")
     logs = [f"b{t}" for t in range(1, topics + 1)]
     scores = (
-        look_up(counts, wide, wide.join(frequent, "word", "left_semi"), "word", logs, spread_by="docid")
+        look_up_apart(counts, wide, common.join(wide, "word", "left"), "word", logs)
         .where(F.col("b1").isNotNull())
         .groupBy("docid")
         .agg(*[F.sum(F.col("n") * F.col(f"b{t}")).alias(f"s{t}") for t in range(1, topics + 1)])
@@ -105,3 +107,13 @@ def language_topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     corpus = with_topic(documents(spark, sf_dir))
     topics = class_count(corpus)
     return corpus, token_counts(corpus), stand_in_beta(corpus, topics), topics
+
+
+def language_posterior(
+    spark: SparkSession, sf_dir: str
+) -> tuple[DataFrame, DataFrame, DataFrame, int, DataFrame]:
+    """:func:`language_topics` with stored counts, and the stored posterior of its documents."""
+    corpus, _, beta, topics = language_topics(spark, sf_dir)
+    counts = stored(document_counts(corpus), "token-counts")
+    posterior = stored(stand_in_posterior(counts, beta, topics), "posterior")
+    return corpus, counts, beta, topics, posterior
