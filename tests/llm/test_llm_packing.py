@@ -75,3 +75,21 @@ def test_edges(spark):
         assert at <= 4096
     assert out["sequence_id"].nunique() == -(-out["length"].sum() // 4096)
     assert packed_documents(empty_docs(spark), FILE).count() == 0
+
+
+def test_plain_words_are_encoded_many_at_once():
+    """op2, CPU seconds: each different word was a text of its own for the tokenizer."""
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in ("ing", "tion", "é", "")]
+    encoder, handed = WordEncoder(FILE), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    plain, encoder.plain = encoder.plain, Counting()
+    got = encoder.encode_all([" ".join(words), " ".join(reversed(words)), ""])
+    assert len(handed) == 1 and sorted(handed[0].split()) == sorted(words)
+    tokenizer = Tokenizer.from_file(FILE)
+    for text, ids in zip([" ".join(words), " ".join(reversed(words)), ""], got, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids

@@ -14,10 +14,10 @@ import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
@@ -43,41 +43,70 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        # For words in which normaliser and splitter would find nothing to do.
+        # For words in which normaliser and splitter would find nothing to do: many in one text.
         self.plain = Tokenizer.from_file(tokenizer_file)
         self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.seen: dict[bytes, bytes] = {}
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.last = np.zeros(self.plain.get_vocab_size(), dtype=bool)  # ids that end a word
+        self.last[[i for token, i in self.plain.get_vocab().items() if token.endswith("</w>")]] = True
+        self.seen: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [_words(t.encode()) for t in texts]
-        words = set(chain.from_iterable(cut))
-        new = [w for w in words if w not in self.seen]
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Different words are found by Arrow, so each is looked up once for all ``texts``.
+        """
+        cut = pc.ascii_split_whitespace(pa.array([_parted(t.encode()) for t in texts], pa.large_string()))
+        places = cut.flatten().dictionary_encode()
+        words, places = places.dictionary.to_numpy(zero_copy_only=False).tolist(), places.indices.to_numpy()
+        found = list(map(self.seen.get, words))
+        new = [w for w, known in zip(words, found, strict=True) if known is None]
         if len(self.seen) + len(new) > REMEMBERED:
-            self.seen, new = {}, list(words)
+            self.seen, new = {}, words
         self.learn(new)
-        look = self.seen.__getitem__
-        return [b"".join(map(look, words)) for words in cut]
-
-    def learn(self, words: list[bytes]) -> None:
+        found = [self.seen[w] if known is None else known for w, known in zip(words, found, strict=True)]
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        bounds = cut.offsets.to_numpy()
+        return [_gathered(ids, starts, sizes, places[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def learn(self, words: list[str]) -> None:
         plain, others = [], []
         for word in words:
-            text = word.decode()
-            (plain if _is_plain(text) else others).append((word, text))
-        for tokenizer, unknown in ((self.plain, plain), (self.tokenizer, others)):
-            for at in range(0, len(unknown), 20_000):
-                some = unknown[at : at + 20_000]
-                encoded = tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-                for (word, _), e in zip(some, encoded, strict=True):
-                    self.seen[word] = array("I", e.ids).tobytes()
-
-
-_END_OF_WORD = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[\t-\r ]|\Z)")
-
-
-def _words(data: bytes) -> list[bytes]:
-    """Parts that are encoded by themselves: words, and stops and commas behind them.
+            (plain if _is_plain(word) else others).append(word)
+        for at in range(0, len(others), 20_000):
+            some = others[at : at + 20_000]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            for word, e in zip(some, encoded, strict=True):
+                self.seen[word] = array("I", e.ids).tobytes()
+        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for at in range(0, len(groups), 40):
+            some = groups[at : at + 40]
+            encoded = self.plain.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)
+            for group, e in zip(some, encoded, strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                upto = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+                ids = ids.tobytes()
+                for word, a, b in zip(group, upto, upto[1:], strict=False):
+                    self.seen[word] = ids[a:b]
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> bytes:
+    """The ids of the words at ``places``, one after the other."""
+    n = sizes[places]
+    before = np.cumsum(n) - n
+    return ids[np.repeat(starts[places] - before, n) + np.arange(n.sum())].tobytes()
+
+
+# A stop or comma first: the search skips all else.
+_END_OF_WORD = re.compile(rb"[.,](?<=[a-z0-9].)[.,]*(?=[\t-\r ]|\Z)")
+
+
+def _parted(data: bytes) -> bytes:
+    """Text with a space between the parts that are encoded by themselves: words, and stops and commas behind them.
 
     The tokenizer lower-cases, and cuts between a letter or digit and what is
     neither; doing so first leaves fewer different parts. Special tokens count
@@ -85,11 +114,13 @@ def _words(data: bytes) -> list[bytes]:
     """
     if b"<|" not in data:
         data = data.lower()
-    return _END_OF_WORD.sub(rb" \1", data).split()
+    return _END_OF_WORD.sub(rb" \g<0>", data)
 
 
 def _is_plain(word: str) -> bool:
     """Latin letters in lower case and normal form only."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
     return word.isalpha() and word == word.lower() and max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)
 
 
