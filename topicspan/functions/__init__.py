@@ -7,13 +7,12 @@ from topicspan.functions.scalar import (
     strip_prefix,
     topic_caption,
 )
-from topicspan.functions.text import WORD_PATTERN, ngram_array, starts_with_term, word_array
+from topicspan.functions.text import WORD_PATTERN, starts_with_term, word_array, word_runs
 
 __all__ = [
     "WORD_PATTERN",
     "first_max_position",
     "log2_ratio",
-    "ngram_array",
     "page_of",
     "parse_page",
     "softmax",
@@ -21,4 +20,5 @@ __all__ = [
     "strip_prefix",
     "topic_caption",
     "word_array",
+    "word_runs",
 ]
