@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from helpers import edge_docs, empty_docs, prose
 
 from topicspan.llm import quality_lm
 from topicspan.llm.quality_lm import LETTERS, bits_table, classify, good_documents, gram_counts, grams, kneser_ney
+from topicspan.session import shared_dir
 
 
 def model_by_hand(texts):
@@ -110,3 +112,40 @@ def test_repeated_words_go_and_toxic_texts_are_not_trusted(spark):
     )
     out = good_documents(edge_docs(spark, good + junk + odd), labels)
     assert {r["doc_id"] for r in out.collect()} == set(range(60))
+
+
+def test_hashes_are_those_of_the_words():
+    texts = ["a\tb", "", " x\x0by\x00 ", "é 𠮷 " + "z" * 70 + " w" * 3, "longer-than-eight longer-than-eighty " + "q" * 64, " \n"]
+    at, hashes = quality_lm.word_hashes(texts)
+    words = [(i, w) for i, t in enumerate(texts) for w in quality_lm._word.findall(t)]
+    assert at.tolist() == [i for i, _ in words]
+    known = {}
+    assert all(known.setdefault(w, h) == h for (_, w), h in zip(words, hashes.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+    doc, before, word = quality_lm.text_pairs(texts, np.zeros(len(texts), dtype=np.int64))
+    assert np.bincount(doc).tolist() == [len(t.split()) + 1 for t in ["a b", "", "x y", "1 2 3 4 5", "1 2 3", ""]]
+    for i in range(len(texts)):
+        assert sorted(before[doc == i]) == sorted(word[doc == i])
+
+
+def test_pairs_of_texts_are_not_stored(spark):
+    rows = [(i, prose(i, 1000), "en", "s", 1) for i in range(400)]
+    docs = edge_docs(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = size()
+    judged = classify(docs, labels, keep=["doc_id"])
+    assert size() - before < sum(len(r[1]) for r in rows)
+    assert judged.count() == 400
+
+
+def test_copies_are_judged_alike(spark):
+    rows = [(i, prose(i, 120), "en", "s", 1) for i in range(30)]
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    alone = classify(edge_docs(spark, rows), labels).select("row.doc_id", "perplexity").collect()
+    copies = [(100 + i, rows[25][1], "de", "s", 1) for i in range(3)]
+    both = classify(edge_docs(spark, rows + copies), labels).select("row.doc_id", "perplexity").collect()
+    one, two = dict(map(tuple, alone)), dict(map(tuple, both))
+    assert all(two[i] == pytest.approx(one[i], rel=1e-9) for i in one)
+    assert all(two[100 + i] == pytest.approx(one[25], rel=1e-9) for i in range(3))
