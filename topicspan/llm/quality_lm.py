@@ -438,7 +438,9 @@ def _counted(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(place of its first, number) of each different key of each text."""
     order = np.lexsort((keys, doc))
     d, k = doc[order], keys[order]
-    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]))[: len(order)]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    first = np.flatnonzero(new)
     return order[first], np.diff(np.append(first, len(order)))
 
 
