@@ -63,6 +63,15 @@ def vocabulary(runs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN
     return counted.where(F.col("n") >= min_count)
 
 
+def joined(one: DataFrame, two: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the vocabulary: both are shuffled.
+
+    Spark sizes a table of exploded words as if each word were one row, and a
+    stored one by its compressed bytes, and would broadcast it through the driver.
+    """
+    return one.hint("merge").join(two.hint("merge"), on, how)
+
+
 def prefix_node(word: Column, length: Column) -> Column:
     return F.xxhash64(F.substring(word, F.lit(1), length), length)
 
@@ -96,7 +105,7 @@ def frontier_round(words: DataFrame, edges: DataFrame, lo: int, hi: int) -> Data
     # substring(w, p) with p past the end is empty, which is what a tail needs.
     tail_from = lambda k: F.expr(f"substring(word, depth + {k})")
     src = F.xxhash64("word").alias("src")
-    stepped = states.join(edges.where((F.col("depth") >= lo) & (F.col("depth") < hi)), ["depth", "node"])
+    stepped = joined(states, edges.where((F.col("depth") >= lo) & (F.col("depth") < hi)), ["depth", "node"])
     # One level ahead: the character the word goes on with must leave the
     # node the edit led to, or, at the word's end, a word must end there.
     goes_on = lambda k: F.when(
@@ -133,10 +142,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     if spelled is None:
         return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
     terminal = hashed.select(F.col("h").alias("spelled"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    found = spelled.join(terminal, "spelled").select("src", "near", "near_n").distinct()
+    found = joined(spelled, terminal, "spelled").select("src", "near", "near_n").distinct()
     sources = hashed.select(F.col("h").alias("src"), "word")
     return (
-        found.join(sources, "src")
+        joined(found, sources, "src")
         .where(F.levenshtein("word", "near") == 1)
         .select("word", "near", "near_n")
         .distinct()
@@ -156,12 +165,12 @@ def spelling_variants(
     pairs = stored(near_pairs(words), "spelling-pairs")
     best_n = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.max("near_n").alias("top_n"))
     best = (
-        pairs.join(best_n, "word")
+        joined(pairs, best_n, "word")
         .where(F.col("near_n") == F.col("top_n"))
         .groupBy("word", "n_near", "top_n")
         .agg(F.min("near").alias("top"))
     )
-    judged = words.join(best, "word", "left").select(
+    judged = joined(words, best, "word", "left").select(
         "word",
         "n",
         F.coalesce(F.col("n_near"), F.lit(0)).cast("long").alias("n_near"),
@@ -176,11 +185,11 @@ def with_roots(judged: DataFrame) -> DataFrame:
     """Follow forms to their end by pointer doubling: each round jumps twice as far."""
     links = judged.select("word", F.coalesce("form", "word").alias("root"))
     while True:
-        hop = links.alias("a").join(links.alias("b"), F.col("a.root") == F.col("b.word"), "left")
+        hop = joined(links.alias("a"), links.alias("b"), F.col("a.root") == F.col("b.word"), "left")
         nxt = hop.select(F.col("a.word").alias("word"), F.coalesce(F.col("b.root"), F.col("a.root")).alias("root"))
         nxt = stored(nxt, "spelling-roots")
-        moved = nxt.alias("n").join(links.alias("l"), "word").where(F.col("n.root") != F.col("l.root")).limit(1).count()
+        moved = joined(nxt.alias("n"), links.alias("l"), "word").where(F.col("n.root") != F.col("l.root")).limit(1).count()
         links = nxt
         if moved == 0:
             break
-    return judged.join(links, "word")
+    return joined(judged, links, "word")
